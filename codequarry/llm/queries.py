@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codequarry.llm import topn
+from codequarry.llm import encode, packing, sentences, topn
 from codequarry.sources.tables import table
 
 
@@ -14,7 +15,31 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_findings(table(spark, root, "findings", "scan_id", "id", "severity", "confidence"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found}
+def p6_ids(spark: SparkSession, root: str) -> DataFrame:
+    return encode.encode(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """Every text again, from its ids."""
+    return encode.decode(p6_ids(spark, root), "doc_id")
+
+
+def p7_packed(spark: SparkSession, root: str) -> DataFrame:
+    sizes = p6_ids(spark, root).select("doc_id", F.size("ids").alias("tokens"))
+    return packing.fill_containers(sizes, "doc_id", "tokens")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return sentences.sentences(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p6_ids": p6_ids,
+    "p6_decoded": p6_decoded,
+    "p7_packed": p7_packed,
+    "p8_found": p8_found,
+}
 
 SQL: dict[str, str] = {
     "p3_found": """
@@ -25,4 +50,5 @@ SQL: dict[str, str] = {
         ranked AS (SELECT scan_id, id AS finding_id,
                           CAST(row_number() OVER (PARTITION BY scan_id ORDER BY s, c, id) AS INTEGER) AS rank_no FROM items)
         SELECT scan_id, finding_id, rank_no FROM ranked WHERE rank_no <= 10""",
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
