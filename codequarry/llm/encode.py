@@ -1,7 +1,7 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary, inside the JVM.
 
 A text is cut into words by the vocabulary's pattern. Words that are a token themselves get their id from a
-literal rank map in place. Of all others the *distinct* ones of the corpus are encoded once each: a fold over
+constant rank map in place. Of all others the *distinct* ones of the corpus are encoded once each: a fold over
 the word's bytes that merges, at every step, all occurrences of the adjacent pair with the lowest rank. Bytes
 are written as the characters U+0000 to U+00FF, so that Spark's string functions can work on them.
 """
@@ -24,7 +24,7 @@ VOCABULARY = "byte_bpe_50k"
 #: Words of a text: contractions, letters, digits, other marks (each with one blank before it), white space.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Buckets of the literal rank map: a map literal is searched entry by entry, so each one is kept to a few.
+#: Buckets of the rank map: a map constant is searched entry by entry, so each one is kept to a few.
 BUCKETS = 16384
 
 OPEN, CLOSE, NONE = "", "", 2**31 - 1
@@ -51,50 +51,59 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-class Ranks:
-    """The rank map of one vocabulary as a literal."""
-
-    def __init__(self, name: str = VOCABULARY, folder: str = VOCABULARIES):
-        self.table = F.from_json(F.lit(_rank_json(name, folder)), "array<map<string,int>>")
-
-    def of(self, token: Column) -> Column:
-        """The id of a token, or null."""
-        bucket = F.pmod(F.crc32(token.cast("binary")), F.lit(BUCKETS)).cast("int")
-        return F.try_element_at(F.get(self.table, bucket), token)
-
-    def merged(self, word: Column) -> Column:
-        """The ids of a word of at least two bytes, by folding ranked merges over its bytes."""
-
-        def parts(state: Column) -> Column:
-            return F.split(F.substring(state, F.lit(2), F.length(state) - 2), CLOSE + OPEN)
-
-        def best(pieces: Column) -> Column:
-            pairs = F.zip_with(
-                F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-                F.slice(pieces, F.lit(2), F.size(pieces) - 1),
-                lambda a, b: F.struct(F.coalesce(self.of(F.concat(a, b)), F.lit(NONE)).alias("r"), a.alias("a"), b.alias("b")),
-            )
-            return F.array_min(pairs)
-
-        def merge(state: Column, pair: Column) -> Column:
-            both = F.concat(F.lit(OPEN), pair["a"], F.lit(CLOSE + OPEN), pair["b"], F.lit(CLOSE))
-            one = F.concat(F.lit(OPEN), pair["a"], pair["b"], F.lit(CLOSE))
-            return F.when(F.coalesce(pair["r"], F.lit(NONE)) == NONE, F.struct(state.alias("s"), F.lit(True).alias("done"))).otherwise(
-                F.struct(F.replace(state, both, one).alias("s"), F.lit(False).alias("done"))
-            )
-
-        def step(acc: Column, _: Column) -> Column:
-            pair = _let(parts(acc["s"]), best)
-            return F.when(acc["done"], acc).otherwise(_let(pair, lambda p: merge(acc["s"], p)))
-
-        start = F.concat(F.lit(OPEN), F.array_join(F.split(word, ""), CLOSE + OPEN), F.lit(CLOSE))
-        state = F.aggregate(
-            F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))),
-            F.struct(start.alias("s"), F.lit(False).alias("done")),
-            step,
-            lambda acc: acc["s"],
+def _constant(spark: SparkSession, text: str, kind: str) -> Column:
+    """A table of one value, given as JSON, as a scalar subquery.
+
+    A literal of a whole vocabulary would be printed into every description of the plan that Spark keeps on the
+    driver; the subquery's value is shipped in the same way, but not printed. Its size is that of the vocabulary.
+    """
+    return spark.createDataFrame([(text,)], "j string").select(F.from_json("j", kind).alias("t")).scalar()
+
+
+def rank_table(spark: SparkSession, name: str = VOCABULARY, folder: str = VOCABULARIES) -> Column:
+    """The rank map of one vocabulary, a constant. Lambdas get it as an argument, see :func:`_let`."""
+    return _constant(spark, _rank_json(name, folder), "array<map<string,int>>")
+
+
+def rank_of(ranks: Column, token: Column) -> Column:
+    """The id of a token, or null."""
+    bucket = F.pmod(F.crc32(token.cast("binary")), F.lit(BUCKETS)).cast("int")
+    return F.try_element_at(F.get(ranks, bucket), token)
+
+
+def merged(ranks: Column, word: Column) -> Column:
+    """The ids of a word of at least two bytes, by folding ranked merges over its bytes."""
+
+    def parts(state: Column) -> Column:
+        return F.split(F.substring(state, F.lit(2), F.length(state) - 2), CLOSE + OPEN)
+
+    def best(pieces: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
+            F.slice(pieces, F.lit(2), F.size(pieces) - 1),
+            lambda a, b: F.struct(F.coalesce(rank_of(ranks, F.concat(a, b)), F.lit(NONE)).alias("r"), a.alias("a"), b.alias("b")),
         )
-        return F.transform(parts(state), self.of)
+        return F.array_min(pairs)
+
+    def merge(state: Column, pair: Column) -> Column:
+        both = F.concat(F.lit(OPEN), pair["a"], F.lit(CLOSE + OPEN), pair["b"], F.lit(CLOSE))
+        one = F.concat(F.lit(OPEN), pair["a"], pair["b"], F.lit(CLOSE))
+        return F.when(F.coalesce(pair["r"], F.lit(NONE)) == NONE, F.struct(state.alias("s"), F.lit(True).alias("done"))).otherwise(
+            F.struct(F.replace(state, both, one).alias("s"), F.lit(False).alias("done"))
+        )
+
+    def step(acc: Column, _: Column) -> Column:
+        pair = _let(parts(acc["s"]), best)
+        return F.when(acc["done"], acc).otherwise(_let(pair, lambda p: merge(acc["s"], p)))
+
+    start = F.concat(F.lit(OPEN), F.array_join(F.split(word, ""), CLOSE + OPEN), F.lit(CLOSE))
+    state = F.aggregate(
+        F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))),
+        F.struct(start.alias("s"), F.lit(False).alias("done")),
+        step,
+        lambda acc: acc["s"],
+    )
+    return F.transform(parts(state), lambda p: rank_of(ranks, p))
 
 
 def tasks(spark: SparkSession) -> int:
@@ -114,12 +123,19 @@ def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, fo
     length are encoded whole. The words that aren't tokens are joined by key, position and word; the text
     itself is never shuffled.
     """
-    ranks = Ranks(name, folder)
-    words = documents.select(
-        F.col(key).alias("k"),
-        F.transform(
-            F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>")),
-            lambda w, i: _let(byte_string(w), lambda b: F.struct(i.alias("at"), ranks.of(b).alias("id"), b.alias("w"))),
+    spark = documents.sparkSession
+    ranks = rank_table(spark, name, folder)
+    cut = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
+    words = documents.select(F.col(key).alias("k"), F.struct(ranks.alias("ranks"), cut.alias("cut")).alias("x")).select(
+        "k",
+        _let(
+            F.col("x"),
+            lambda x: F.transform(
+                x["cut"],
+                lambda w, i: _let(
+                    byte_string(w), lambda b: F.struct(i.alias("at"), rank_of(x["ranks"], b).alias("id"), b.alias("w"))
+                ),
+            ),
         ).alias("words"),
     )
     whole = words.select(
@@ -129,7 +145,10 @@ def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, fo
         ).alias("got"),
     )
     rare = words.select("k", F.explode(F.filter("words", lambda w: w["id"].isNull())).alias("x")).select("k", "x.at", "x.w")
-    encoded = rare.select("w").distinct().repartition(tasks(documents.sparkSession), "w").select("w", ranks.merged(F.col("w")).alias("ids"))
+    distinct = rare.select("w").distinct().repartition(tasks(spark), "w")
+    encoded = distinct.select("w", F.struct(ranks.alias("ranks"), "w").alias("x")).select(
+        "w", _let(F.col("x"), lambda x: merged(x["ranks"], x["w"])).alias("ids")
+    )
     looked_up = rare.join(encoded, "w").groupBy("k").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
     together = whole.unionByName(looked_up).groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("got"))).alias("got"))
     return together.select(F.col("k").alias(key), F.flatten(F.transform("got", lambda x: x["ids"])).alias("ids"))
@@ -144,6 +163,9 @@ def decode(encoded: DataFrame, key: str, ids: str = "ids", name: str = VOCABULAR
     pieces: list[str] = [""] * (max(tokens.values()) + 1)
     for token, rank in tokens.items():
         pieces[rank] = token
-    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    joined = F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.get(table, i), F.lit(""))), "")
-    return encoded.select(key, F.encode(joined, "ISO-8859-1").cast("string").alias("text"))
+    table = _constant(encoded.sparkSession, json.dumps(pieces), "array<string>")
+    joined = _let(
+        F.col("x"),
+        lambda x: F.array_join(F.transform(x["ids"], lambda i: F.coalesce(F.get(x["pieces"], i), F.lit(""))), ""),
+    )
+    return encoded.select(key, F.struct(table.alias("pieces"), F.col(ids).alias("ids")).alias("x")).select(key, F.encode(joined, "ISO-8859-1").cast("string").alias("text"))
