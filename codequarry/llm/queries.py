@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import encode, packing, sentences, topn
+from codequarry.llm import encode, handwritten, packing, sentences, topn
 from codequarry.sources.tables import table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, root, "source_files", "file_id", "relative_path", "content")).select("file_id")
+
+
+def p2_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """Files and characters by kind; files that someone on the team wrote are ``hand-written``."""
+    files = table(spark, root, "source_files", "file_id", "relative_path", "content").dropDuplicates(["file_id"])
+    kinds = handwritten.not_handwritten(files)
+    sizes = files.where("content is not null").select("file_id", F.length("content").cast("long").alias("chars"))
+    return (
+        sizes.join(kinds, "file_id", "left")
+        .groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind"))
+        .agg(F.count("*").alias("n_files"), F.sum("chars").alias("n_chars"))
+    )
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_findings(table(spark, root, "findings", "scan_id", "id", "severity", "confidence"))
 
@@ -34,6 +50,8 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_kinds": p2_kinds,
     "p3_found": p3_found,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
