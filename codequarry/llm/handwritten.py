@@ -2,8 +2,8 @@
 
 Each file is lexed into comments, strings, numbers, names and marks, and measured against the canonical layout
 of the same tokens (one statement or brace to a line): how far re-emitting it would expand it, how uniform its
-lines are once names and literals are blanked, and how much of the code is literals. Path conventions and the
-notice at the head of the file are evidence beside it. A third-party copy without either is recognised by its
+lines are once names and literals are blanked, and how much of the code is literals. Path conventions and
+notices in comments are evidence beside it. A third-party copy without either is recognised by its
 code, comments and blanks aside, being that of a file that has one.
 """
 
@@ -44,7 +44,7 @@ NOTICE = re.compile(
     | \bthis\ (?:file|code|class|module)\ (?:is|was|has\ been)\ (?:auto(?:matically)?[-\ ]?)?(?:generated|written|created|produced)\b
     | ^\W*auto-?generated\b | ^\W*machine[-\ ](?:written|generated|made)\b
     | automatisch\ (?:erzeugt|erstellt|generiert) | nicht\ von\ hand\ (?:ändern|bearbeiten) | fichier\ (?:produit|généré)\ par | ne\ pas\ modifier
-    | généré\ automatiquement | (?:generado|gerado|generato)\ autom | 自動生成 | 自动生成 | \bdo\ not\ (?:edit|modify)\b""",
+    | généré\ automatiquement | (?:generado|gerado|generato)\ autom | 自動生成 | 自动生成 | ^\W*do\ not\ (?:edit|modify)\b""",
     re.I | re.M | re.X,
 )
 LICENCE = re.compile(
@@ -70,11 +70,13 @@ def layout(content: str, extension: str) -> tuple:
     head = HEAD.match(text).group()
     literal = 0
     strings: list[str] = []
+    comments: list[str] = []
 
     def blank(m: re.Match) -> str:
         nonlocal literal
         s = m.group(1)
         if s is None:
+            comments.append(m.group())
             return ""
         literal += len(s)
         strings.append(s)
@@ -92,7 +94,7 @@ def layout(content: str, extension: str) -> tuple:
     separators = packed.count(";") + packed.count("{") + packed.count("}")
     top = max(shapes.values(), default=0) / n if n else 0.0
     repeats = 1 - len(shapes) / n if n else 0.0
-    return len(lines), separators, code, literal, repeats, top, bool(NOTICE.search(head)), bool(LICENCE.search(head)), digest
+    return len(lines), separators, code, literal, repeats, top, bool(NOTICE.search("\n".join(comments))), bool(LICENCE.search(head)), digest
 
 
 def measures(files: DataFrame) -> DataFrame:
