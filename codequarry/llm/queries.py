@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import encode, handwritten, packing, sentences, topn
+from codequarry.llm import encode, handwritten, packing, sentences, syntax, topn
 from codequarry.sources.tables import table
 
 
@@ -31,6 +31,15 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_findings(table(spark, root, "findings", "scan_id", "id", "severity", "confidence"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return syntax.syntax_errors(table(spark, root, "source_files", "file_id", "extension", "language", "content")).select("file_id")
+
+
+def p5_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Checked and invalid files per repository and language."""
+    return syntax.error_rates(table(spark, root, "source_files", "file_id", "repository_id", "extension", "language", "content"))
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode.encode(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -53,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_ids": p6_ids,
     "p6_decoded": p6_decoded,
     "p7_packed": p7_packed,
