@@ -44,7 +44,7 @@ PLACEHOLDER = re.compile(
     re.I | re.X,
 )
 REFERENCE = re.compile(
-    r"(?:os|process|System|config|settings|env|vault|secrets?|var|local|data|self|this|request|req|params|args|ctx|module|each|inputs)\.[\w.\[\]\"'()]+|\w+\([^)]*\)?;?|[\w.]+\[[^\]]*\]|op://\S+|vault:\S+|arn:\S+"
+    r"(?:os|process|System|config|settings|env|vault|secrets?|var|local|data|self|this|request|req|params|args|ctx|module|each|inputs)\.[\w.\[\]\"'()]+|[A-Za-z_][\w.:]*\(.*|[\w.]+\[[^\]]*\].*|op://\S+|vault:\S+|arn:\S+"
 )
 
 NAME = rf"(?<![A-Za-z0-9])[\w.\-/:]*?(?:{SECRET})"
@@ -56,7 +56,7 @@ FORM = re.compile(rf"(?<![A-Za-z0-9+/=])(?:{FORMS})")
 LOGIN_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>{}$]*:(?P<v>[^\s@/\"'`<>]+)@")
 SCHEME = re.compile(r"\b(?:Basic|basic)\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])|\b(?:Bearer|bearer|token)\s+(?P<w>[A-Za-z0-9._~+/-]{12,}=*)")
 COMMAND = re.compile(
-    rf"(?:\bcurl\b[^\n]*?\s(?:-u|--user)\s*[\"']?[^\s:\"']+:(?P<v>[^\s\"']+))|(?:\s--?(?:{SECRET})(?:\s+|=)[\"']?(?P<w>[^\s\"',)]+))|(?:\blogin\b[^\n]*?\s-p\s*[\"']?(?P<x>[^\s\"']+))", re.I
+    rf"(?:\bcurl\b[^\n]*?\s(?:-u|--user)\s*[\"']?[^\s:\"']+:(?P<v>[^\s\"']+))|(?:\s--?(?:[\w-]*[_-])?(?:{SECRET})(?:\s+|=)[\"']?(?P<w>[^\s\"',)]+))|(?:\blogin\b[^\n]*?\s-p\s*[\"']?(?P<x>[^\s\"']+))", re.I
 )
 PAIR = re.compile(rf"auth\s*=\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*')\s*,\s*{QUOTED.format('p')}|getConnection\(\s*\"[^\"\n]*\"\s*,\s*\"[^\"\n]*\"\s*,\s*{QUOTED.format('q')}", re.I)
 ASSIGNED = re.compile(

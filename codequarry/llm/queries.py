@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import encode, handwritten, packing, sentences, syntax, topn
+from codequarry.llm import credentials, encode, handwritten, packing, sentences, syntax, topn
 from codequarry.sources.tables import table
 
 
@@ -31,6 +31,22 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return topn.top_findings(table(spark, root, "findings", "scan_id", "id", "severity", "confidence"))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    files = table(spark, root, "source_files", "file_id", "relative_path", "content")
+    findings = table(spark, root, "findings", "id", "code_snippet", "file_path")
+    return (
+        credentials.find_credentials(files, "source_files", "content", "file_id", F.col("relative_path"))
+        .unionByName(credentials.find_credentials(files, "source_files", "relative_path", "file_id"))
+        .unionByName(credentials.find_credentials(findings, "findings", "code_snippet", "id", F.lit("")))
+    )
+
+
+def p4_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every file with its credentials blanked out, all offsets and line ends as they were."""
+    files = table(spark, root, "source_files", "file_id", "relative_path", "content")
+    return credentials.redacted(files, "content", "file_id", F.col("relative_path"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return syntax.syntax_errors(table(spark, root, "source_files", "file_id", "extension", "language", "content")).select("file_id")
 
@@ -62,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_ids": p6_ids,
