@@ -1,0 +1,73 @@
+"""Import graphs of Python files: modules, edges between them, and cycles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from codequarry.functions.text import forward_slashes
+from codequarry.sources.files import lines
+
+FROM = r"^\s*from\s+(\.*)([\w.]*)\s+import\b"
+PLAIN = r"^\s*import\s+([\w.]+)"
+
+
+def module_name(path: Column) -> Column:
+    """``a/b/c.py`` is ``a.b.c``, ``a/b/__init__.py`` is ``a.b``."""
+    bare = F.regexp_replace(F.regexp_replace(forward_slashes(path), r"(?i)\.py$", ""), r"(^|/)__init__$", "")
+    return F.replace(bare, F.lit("/"), F.lit("."))
+
+
+def modules(files: DataFrame, owner: str = "repository_id") -> DataFrame:
+    """``owner, module`` of the Python files of each repository."""
+    py = files.where(F.lower("relative_path").endswith(".py") & F.col(owner).isNotNull())
+    return py.select(owner, module_name(F.col("relative_path")).alias("module")).distinct()
+
+
+def import_edges(files: DataFrame, owner: str = "repository_id") -> DataFrame:
+    """``owner, src, dst`` between modules of one repository.
+
+    Relative imports are resolved against the importing package. An import names a module or something in it, so
+    the longest known dotted prefix counts. Imports are read from lines that begin with one.
+    """
+    py = files.where(F.lower("relative_path").endswith(".py") & F.col(owner).isNotNull())
+    text = lines(py.withColumn("_o", F.struct(owner, "relative_path")), "_o").where(F.col("line").rlike(f"{FROM}|{PLAIN}"))
+    src = module_name(F.col("path"))
+    dots, tail = F.length(F.regexp_extract("line", FROM, 1)), F.regexp_extract("line", FROM, 2)
+    parent = F.slice(F.split(src, r"\."), F.lit(1), F.greatest(F.size(F.split(src, r"\.")) - dots, F.lit(0)))
+    base = F.array_join(parent, ".")
+    relative = F.concat(base, F.when((base != "") & (tail != ""), ".").otherwise(""), tail)
+    target = F.when(F.col("line").rlike(FROM), F.when(dots > 0, relative).otherwise(tail)).otherwise(F.regexp_extract("line", PLAIN, 1))
+    named = text.select(F.col(f"_o.{owner}").alias(owner), src.alias("src"), target.alias("target")).where(F.col("target") != "").distinct()
+    parts = F.split("target", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    known = modules(files, owner).withColumnRenamed("module", "dst")
+    matched = named.withColumn("dst", F.explode(prefixes)).join(known, [owner, "dst"])
+    longest = matched.groupBy(owner, "src", "target").agg(F.max_by("dst", F.length("dst")).alias("dst"))
+    return longest.select(owner, "src", "dst").distinct()
+
+
+def import_cycles(edges: DataFrame, longest: int = 4, owner: str = "repository_id") -> DataFrame:
+    """``owner, members`` of every cycle of at most ``longest`` modules, each once, from its least member on.
+
+    Paths start at their least module and never visit one twice, so a cycle is found exactly once. Modules that
+    nothing imports, or that import nothing, are dropped before. Self-imports are no cycles.
+    """
+    e = edges.where(F.col("src") != F.col("dst"))
+    e = e.join(e.select(owner, F.col("src").alias("dst")).distinct(), [owner, "dst"], "left_semi")
+    e = e.join(edges.select(owner, F.col("dst").alias("src")).distinct(), [owner, "src"], "left_semi").select(owner, "src", "dst")
+    paths = e.where(F.col("dst") > F.col("src")).select(owner, F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
+    found = None
+    for n in range(2, longest + 1):
+        step = paths.join(e.withColumnRenamed("src", "at"), [owner, "at"])
+        closed = step.where(F.col("dst") == F.col("path")[0]).select(owner, F.array_join("path", " > ").alias("members"))
+        found = closed if found is None else found.unionByName(closed)
+        if n < longest:
+            go_on = (F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst"))
+            paths = step.where(go_on).select(owner, F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
+    return found.distinct()
+
+
+def unused_imports(edges: DataFrame, uses: DataFrame, owner: str = "repository_id") -> DataFrame:
+    """The edges whose module isn't used by the importer: ``uses`` holds ``owner, src, dst`` of references."""
+    return edges.join(uses.select(owner, "src", "dst"), [owner, "src", "dst"], "left_anti")
