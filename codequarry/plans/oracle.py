@@ -32,7 +32,8 @@ CONF = "coalesce(nullif(confidence, 0), 50)"
 F_ = "f AS (SELECT DISTINCT id, scan_id, severity, category, analyzer, confidence, patch_available FROM findings WHERE id IS NOT NULL)"
 CURRENT = """cs AS (SELECT id, repository_id, status, started_at, completed_at, commit_sha, branch FROM scans WHERE id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE status WHEN 'pending' THEN 0 WHEN 'running' THEN 1 WHEN 'completed' THEN 2
-  WHEN 'failed' THEN 3 ELSE -1 END DESC, completed_at DESC NULLS LAST) = 1)"""
+  WHEN 'failed' THEN 3 ELSE -1 END DESC, completed_at DESC NULLS LAST,
+  repository_id DESC NULLS LAST, started_at DESC NULLS LAST, commit_sha DESC NULLS LAST, branch DESC NULLS LAST) = 1)"""
 OWNED = """o AS (SELECT DISTINCT user_id, r.id AS repository_id FROM repositories r JOIN projects p ON p.id = r.project_id)"""
 SUMMARY = f"""s AS (SELECT scan_id, count(*) AS total, {", ".join(f"count(*) FILTER (sev = '{s}') AS {s}" for s in SEVERITY_RANK)},
   count(*) FILTER (sec) AS security, count(*) FILTER (NOT sec) AS quality, count(*) FILTER (confidence >= 80) AS high_confidence,

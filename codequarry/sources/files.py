@@ -58,9 +58,9 @@ def read_tree(spark: SparkSession, root: str, max_files: int = MAX_FILES, max_by
     the reader's documented limit. Content is null for binary files, larger ones and languages that aren't
     analysed; bytes that are no UTF-8 are replaced.
     """
-    base = "file:" + root.rstrip("/") if "://" not in root else root.rstrip("/")
+    bare = root.split("://", 1)[-1].strip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_replace(F.col("path"), f"^{base.replace('file:', 'file:/*/', 1)}/", "")
+    relative = F.regexp_replace(F.col("path"), rf"^(?:\w+:)?/*\Q{bare}\E/", "")
     parts = F.split("relative_path", "/")
     rows = (
         files.select(relative.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("content").alias("bytes"))
