@@ -183,7 +183,10 @@ def _after_stop(s: str, m: re.Match, begun: int) -> int:
     if len(token) == 1 and re.search(r"\d\s*\Z", before[: word.start()]):
         kind = "maybe"  # a unit after a number: "48.7 s."
     elif not kind and len(token) == 1:
-        kind = "never"  # initials
+        # initials, and the first of two single letters; a lone small letter ends a sentence if a new one starts
+        kind = "never" if not token.islower() or re.compile(r"\w{1,3}\.").match(s, at) else "maybe"
+    if kind == "title" and re.search(r"\d\s*\Z", before[: word.start()]):
+        kind = "maybe"
     if kind == "title":
         kind = "never" if token[0].isupper() or not token[0].islower() else ""
     if kind == "never":
@@ -275,7 +278,9 @@ def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         if item and not (fresh or unit):
             # a number or dash at the start of a wrapped line is no item: what stands before must be complete
             tail = text[start:end].rstrip()
-            item = tail.endswith(":") or (tail[-1:] in STOPS and not any(_after_stop(x, EVENT.match(x, len(tail) - 1), 0) == 0 for x in [tail + " A"]))
+            joined = tail + " " + line.lstrip()
+            stop = EVENT.match(joined, len(tail) - 1) if tail[-1:] in STOPS else None
+            item = tail.endswith(":") or stop is not None and _after_stop(joined, stop, 0) > 0
         if heading or item:
             if end > start:
                 yield start, end, unit
