@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.functions.redaction import redact, redaction_count
 from codequarry.functions.urls import canonical_url
 from codequarry.functions.versions import is_older
-from codequarry.operators import advisories, confidence, config_audit, dedupe, findings, imports, linerules, patches, pyflow, review, scripts, snapshots, summary
+from codequarry.operators import advisories, confidence, config_audit, dedupe, findings, imports, linerules, patches, pyflow, pyquality, review, scripts, snapshots, summary
 from codequarry.sources import files, manifests
 from codequarry.sources.tables import table
 
@@ -90,6 +90,13 @@ def newest_scans(spark, root):
     return findings.newest_scans(table(spark, root, "scans"))
 
 
+@query
+def newest_repository(spark, root):
+    """The repository of each project that was created last (S1, S3); ties go to the greater id."""
+    rows = table(spark, root, "repositories", "id", "project_id", "created_at").where("project_id is not null")
+    return rows.groupBy("project_id").agg(F.max(F.struct("created_at", "id")).alias("r")).select("project_id", F.col("r.id").alias("repository_id"))
+
+
 # projections (C1-C7, J4) and the sink's form (B1)
 
 
@@ -225,6 +232,14 @@ def classified_files(spark, root):
     return files.classified(table(spark, root, "source_files"))
 
 
+@query
+def languages_found(spark, root):
+    """The languages of each repository's files (D12), sorted; there are a few dozen at most."""
+    rows = table(spark, root, "source_files", "repository_id", "relative_path").where("repository_id is not null")
+    name = files.language_of(files.extension_of(F.col("relative_path")))
+    return rows.groupBy("repository_id").agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("languages"))
+
+
 def _lines(spark, root):
     return files.lines(table(spark, root, "source_files", "file_id", "relative_path", "content"))
 
@@ -292,6 +307,11 @@ def python_flows(spark, root):
     return pyflow.flows(table(spark, root, "source_files", "file_id", "relative_path", "content"))
 
 
+@query
+def python_quality(spark, root):
+    return pyquality.python_quality(table(spark, root, "source_files", "file_id", "relative_path", "content"))
+
+
 @query
 def configuration_audit(spark, root):
     return config_audit.audit(table(spark, root, "source_files", "file_id", "relative_path", "content")).select("file_id", "line_no", "rule_id", "severity", "confidence")

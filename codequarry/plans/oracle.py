@@ -163,6 +163,11 @@ SQL: dict[str, str] = {
         JOIN cs ON cs.id = f.scan_id JOIN o USING (repository_id) GROUP BY user_id, repository_id""",
     "repository_counts": """SELECT p.id AS project_id, count(r.id) AS n_repositories FROM (SELECT DISTINCT id FROM projects) p
         LEFT JOIN (SELECT DISTINCT id, project_id FROM repositories) r ON r.project_id = p.id GROUP BY p.id""",
+    "newest_repository": """SELECT project_id, id AS repository_id FROM (SELECT DISTINCT id, project_id, created_at FROM repositories WHERE project_id IS NOT NULL)
+        QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC NULLS LAST, id DESC) = 1""",
+    "languages_found": f"""WITH x AS (SELECT DISTINCT repository_id, {EXT.replace('path', 'relative_path')} AS ext FROM source_files WHERE repository_id IS NOT NULL),
+        n AS (SELECT DISTINCT repository_id, {LANG} AS language FROM x)
+        SELECT repository_id, coalesce(string_agg(language, ',' ORDER BY language), '') AS languages FROM n GROUP BY repository_id""",
     "latest_scans": f"""WITH {CURRENT} SELECT repository_id, id AS scan_id, status FROM cs WHERE repository_id IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY started_at DESC NULLS LAST, id DESC) = 1""",
     "newest_scans": f"""WITH {CURRENT} SELECT repository_id, id AS scan_id, CAST(row_number() OVER (PARTITION BY repository_id

@@ -1,4 +1,4 @@
-from codequarry.operators import advisories, config_audit, imports, linerules, patches, pyflow, scripts
+from codequarry.operators import advisories, config_audit, imports, linerules, patches, pyflow, pyquality, scripts
 from codequarry.sources import files, manifests
 from pyspark.sql import functions as F
 
@@ -131,3 +131,9 @@ def test_patches(spark):
     assert got == ["partially_verified", "verified", "failed", "failed", "failed"]
     made = spark.createDataFrame([("PY008", "  d = yaml.load(f)"), ("PY008", "yaml.load(f, Loader=L)"), ("PY001", "yaml.load(f)")], "r string, s string")
     assert [r.x for r in made.select(patches.made_patch(F.col("r"), F.col("s")).alias("x")).collect()] == ["  d = yaml.safe_load(f)", None, None]
+
+
+def test_python_quality(spark):
+    text = "import os, sys\nfrom a import b as c, _d\ndef f(x, y=[]):\n    try:\n        raise\n    except E:\n        raise\n    return sys.path\ndef _g(): pass\ndef h() -> int: return 1\n__all__ = ['c']\n"
+    got = {(r.line_no, r.rule, r.name) for r in pyquality.python_quality(table(spark, files={"a.py": text, "b.py": "def (", "c.py": None})).collect()}
+    assert got == {(1, "unused_import", "os"), (3, "missing_return_annotation", "f"), (3, "mutable_default", "f"), (5, "bare_raise", "")}
