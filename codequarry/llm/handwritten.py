@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.session import shared_dir
+
 #: A script is minified from this many canonical lines to a line; lines of a file are uniform if of so many, so
 #: large a share repeats a shape and one shape has so large a share; data is code of so many characters of which
 #: so large a share is literals; a copy is recognised by its code from so many characters.
@@ -138,9 +140,11 @@ def not_handwritten(files: DataFrame) -> DataFrame:
 
     Kinds are lock file, generated, third party, minified and data. The detector's flags are not used. Files
     without content or id have no row; a null path counts as empty, and then only the content speaks. Repeated
-    rows give one; rows of one id that disagree give the alphabetically first kind. Whole contents are lexed.
+    rows give one; rows of one id that disagree give the alphabetically first kind. Whole contents are lexed, once:
+    the measures, a few numbers a file, are written to the shared folder, as both sides of the copies' join need them.
     """
-    measured = measures(files).withColumn("known", F.col("licence") | F.col("path").rlike(VENDORED_PATHS))
+    shared_dir(files.sparkSession)
+    measured = measures(files).withColumn("known", F.col("licence") | F.col("path").rlike(VENDORED_PATHS)).checkpoint()
     copies = measured.where(F.col("known") & (F.col("code") >= COPY_CHARS)).select("body").distinct().withColumn("copied", F.lit(True))
     return (
         measured.join(copies, "body", "left")
