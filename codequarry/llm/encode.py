@@ -17,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.session import shared_dir
+
 #: Folder of the vocabulary files and the vocabulary used where none is named.
 VOCABULARIES = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -120,8 +122,8 @@ def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, fo
     """``key, ids``: every text as its list of token ids, without special tokens.
 
     Null and empty texts have the empty list. Keys are taken as unique; null keys are allowed. Words of any
-    length are encoded whole. The words that aren't tokens are joined by key, position and word; the text
-    itself is never shuffled.
+    length are encoded whole. The words that aren't tokens are written to the shared folder with key and position,
+    as their distinct ones are encoded and then joined back; the text itself is never shuffled.
     """
     spark = documents.sparkSession
     ranks = rank_table(spark, name, folder)
@@ -144,7 +146,8 @@ def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, fo
             F.filter("words", lambda w: w["id"].isNotNull()), lambda w: F.struct(w["at"].alias("at"), F.array(w["id"]).alias("ids"))
         ).alias("got"),
     )
-    rare = words.select("k", F.explode(F.filter("words", lambda w: w["id"].isNull())).alias("x")).select("k", "x.at", "x.w")
+    shared_dir(spark)
+    rare = words.select("k", F.explode(F.filter("words", lambda w: w["id"].isNull())).alias("x")).select("k", "x.at", "x.w").checkpoint()
     distinct = rare.select("w").distinct().repartition(tasks(spark), "w")
     encoded = distinct.select("w", F.struct(ranks.alias("ranks"), "w").alias("x")).select(
         "w", _let(F.col("x"), lambda x: merged(x["ranks"], x["w"])).alias("ids")
