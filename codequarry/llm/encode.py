@@ -29,6 +29,9 @@ WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Buckets of the rank map: a map constant is searched entry by entry, so each one is kept to a few.
 BUCKETS = 16384
 
+#: A position times this plus an id is one long.
+PLACE = 2**31
+
 OPEN, CLOSE, NONE = "", "", 2**31 - 1
 
 
@@ -140,11 +143,11 @@ def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, fo
             ),
         ).alias("words"),
     )
+    # a token in place is one long, position and id: the one thing of every text's size that is shuffled
     whole = words.select(
         "k",
-        F.transform(
-            F.filter("words", lambda w: w["id"].isNotNull()), lambda w: F.struct(w["at"].alias("at"), F.array(w["id"]).alias("ids"))
-        ).alias("got"),
+        F.transform(F.filter("words", lambda w: w["id"].isNotNull()), lambda w: w["at"].cast("long") * PLACE + w["id"]).alias("packed"),
+        F.lit(None).cast("array<struct<at:int,ids:array<int>>>").alias("got"),
     )
     shared_dir(spark)
     rare = words.select("k", F.explode(F.filter("words", lambda w: w["id"].isNull())).alias("x")).select("k", "x.at", "x.w").checkpoint()
@@ -152,9 +155,14 @@ def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, fo
     encoded = distinct.select("w", F.struct(ranks.alias("ranks"), "w").alias("x")).select(
         "w", _let(F.col("x"), lambda x: merged(x["ranks"], x["w"])).alias("ids")
     )
-    looked_up = rare.join(encoded, "w").groupBy("k").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
-    together = whole.unionByName(looked_up).groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("got"))).alias("got"))
-    return together.select(F.col("k").alias(key), F.flatten(F.transform("got", lambda x: x["ids"])).alias("ids"))
+    found = rare.join(encoded, "w").groupBy("k").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
+    looked_up = found.select("k", F.lit(None).cast("array<bigint>").alias("packed"), "got")
+    together = whole.unionByName(looked_up).groupBy("k").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("packed", "got")])
+    tokens = F.transform(
+        "packed", lambda x: F.struct(F.shiftright(x, 31).cast("int").alias("at"), F.array((x % PLACE).cast("int")).alias("ids"))
+    )
+    ordered = F.array_sort(F.concat(tokens, "got"))
+    return together.select(F.col("k").alias(key), F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
 
 
 def decode(encoded: DataFrame, key: str, ids: str = "ids", name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
