@@ -76,8 +76,11 @@ IN_PATH = re.compile(rf"(?P<name>(?:{SECRET}|key))=(?P<v>[A-Za-z0-9_.~+-]+?)(?=-
 NETRC = re.compile(r"\bpassword[ \t]+(?P<v>\S+)")
 PGPASS = re.compile(r"^(?!\#)[^\s:]+:[^\s:]*:[^\s:]*:[^\s:]+:(?P<v>[^\s]+)[ \t]*\r?$", re.M)
 
-#: What a text must contain to be looked at; the same words in Java's regex dialect, for use before Python is entered.
-TRIGGER = rf"(?i){SECRET}|key|://[^\s/@]*:|\bbasic\s|-----BEGIN |AKIA|ASIA|gh[opsur]_|github_pat_|glpat-|[sr]k_live|sk-|npm_|xox|AIza|eyJ|ya29|pypi-|hf_"
+#: What a text must contain to be looked at, in Java's regex dialect, for use before Python is entered: every rule above
+#: needs a part of it, whatever the rule's path; letters match as in Python (``u``: also ``Ñ`` and the long s).
+TRIGGER = rf"(?iu){SECRET}|key|://[^\s/@]*:|basic|bearer|curl|login|getConnection|-----BEGIN |{FORMS}"
+#: But for this one, whose lines have no words: the ends of the paths it holds for.
+WORDLESS = "pgpass"
 
 
 @cache
@@ -192,7 +195,7 @@ def credential_spans(text: str, path: str = "", is_path: bool = False) -> list[t
     if base.endswith("netrc"):
         for m in NETRC.finditer(text):
             add(*m.span("v"), not _placeholder(m["v"]))
-    if base.endswith("pgpass"):
+    if base.endswith(WORDLESS):
         for m in PGPASS.finditer(text):
             add(*m.span("v"), not _placeholder(m["v"]))
     return sorted(found)
@@ -201,6 +204,11 @@ def credential_spans(text: str, path: str = "", is_path: bool = False) -> list[t
 SPANS = "array<struct<start_char:int,end_char:int>>"
 
 
+def _of_interest(text: Column, path: Column) -> Column:
+    """Whether any rule could find something; false only where none can."""
+    return text.rlike(TRIGGER) | F.lower(F.coalesce(path, F.lit(""))).endswith(WORDLESS)
+
+
 def _finder(is_path: bool):
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series, paths: pd.Series) -> pd.Series:
@@ -214,12 +222,12 @@ def find_credentials(rows: DataFrame, table_name: str, column: str, row_id: str,
     """``table_name, column_name, row_id, start_char, end_char`` of every credential in one text column.
 
     With ``path`` None the column is itself a path. Null texts and ids have no rows; repeated rows give their
-    spans once. Texts without any word of interest never leave the JVM; all others are read whole.
+    spans once. Texts in which no rule could find anything never leave the JVM; all others are read whole.
     """
     is_path = path is None
     texts = rows.select(F.col(row_id).cast("string").alias("row_id"), F.col(column).alias("_t"), (F.lit("") if is_path else path).alias("_p"))
     return (
-        texts.where(F.col("row_id").isNotNull() & F.col("_t").rlike(TRIGGER))
+        texts.where(F.col("row_id").isNotNull() & _of_interest(F.col("_t"), F.col("_p")))
         .select("row_id", F.explode(_finder(is_path)("_t", "_p")).alias("s"))
         .select(F.lit(table_name).alias("table_name"), F.lit(column).alias("column_name"), "row_id", "s.start_char", "s.end_char")
         .distinct()
@@ -243,5 +251,6 @@ def redact(text: Column, spans: Column, mark: str = "*") -> Column:
 def redacted(rows: DataFrame, column: str, row_id: str, path: Column | None = None) -> DataFrame:
     """``row_id`` and ``column``, redacted, of every row; repeated rows stay. Null texts stay null."""
     is_path = path is None
-    spans = F.when(F.col(column).rlike(TRIGGER), _finder(is_path)(F.coalesce(column, F.lit("")), F.lit("") if is_path else path))
+    path = F.lit("") if is_path else path
+    spans = F.when(_of_interest(F.col(column), path), _finder(is_path)(F.coalesce(column, F.lit("")), path))
     return rows.select(row_id, column, spans.alias("_s")).select(row_id, redact(F.col(column), F.col("_s")).alias(column))

@@ -53,3 +53,22 @@ def test_tables_and_redaction(spark):
 
 def test_long_text():
     assert credential_spans("x = 1\n" * 20000 + "password = 'Maple_river12'") == [(120012, 120025)]
+
+
+ALONE = [
+    ("h:1:db:svc:falcon12x", "x/.PGPASS"), ("curl -u app:kettle4594 h", ""), ("docker login r.io -u a -p kettle4594", ""), ('getConnection("jdbc:x:db", "app", "kettle4594")', ""), ('h = "Bearer x7Tq9vK2mP4wR8zL1nB5"', ""),
+    ("a = 'Basic dXNlcjpzM2NyM3RQYXNz'", ""), ("x://a:kettle4594@h", ""), (KEY, ""), ("machine h login a password Tundra88", ".netrc"), ("CONTRASEÑA = 'Maple_river12'", ""), ("paſſword = 'Maple_river12'", ""),
+    *[(f'x = "{prefix}{T[4:]}"', "") for prefix in ("ghp_", "github_pat_", "glpat-", "sk_live_", "rk_test_", "pk_test_", "sk-", "npm_", "pypi-", "xoxb-", "ya29.", "hf_")],
+    (f'x = "AKIA{T[4:20].upper()}"', ""), (f'x = "AIza{T[4:39]}"', ""), (f'x = "SG.{T[4:24]}.{T[4:34]}"', ""), (f'x = "dop_v1_{"0123456789abcdef" * 4}"', ""), (f'x = "eyJ{T[4:20]}.{T[4:24]}.{T[4:30]}"', ""),
+]
+
+
+def test_each_rule_alone_passes_the_filter(spark):
+    texts = ALONE + [(m[: m.index("<")] + m[m.index("<") + 1 : m.rindex(">")] + m[m.rindex(">") + 1 :], p) for m, p in FOUND]
+    rows = [(i, p, t, "", 0) for i, (t, p) in enumerate(texts)]
+    assert all(credential_spans(t, p) for t, p in texts)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(int(r.row_id), r.start_char, r.end_char) for r in find_credentials(df, "t", "content", "file_id", F.col("relative_path")).collect()}
+    assert got == {(i, a, b) for i, (t, p) in enumerate(texts) for a, b in credential_spans(t, p)}
+    same = {r.file_id for r in redacted(df, "content", "file_id", F.col("relative_path")).collect() if r.content == texts[r.file_id][0]}
+    assert same == set()
