@@ -2,8 +2,10 @@
 
 Places where a credential could stand are found by context: well-known token forms, private key blocks, logins
 in URLs, headers and commands, and values that are given to a name which speaks of a secret. A value then counts
-if it isn't a placeholder or reference and doesn't read like language: that is measured as characters per
-subword under a public tokenizer's vocabulary, which is low for random strings and high for words.
+if it isn't a placeholder or reference. A literal that is given to the name of a password, passphrase, secret or
+key counts whatever it reads like, messages apart; elsewhere (vague names such as ``auth``, commands, lists,
+values without quotes in code) it must not read like language: that is measured as characters per subword under
+a public tokenizer's vocabulary, which is low for random strings and high for words.
 """
 
 from __future__ import annotations
@@ -36,13 +38,30 @@ LABELS = (
     r"ref|refs|pattern|regex|label|help|hint|field|name|header|url|uri|command|cmd|placeholder|prompt|title|text|message|msg|description|desc|id|type|length|len|min|max|count|size|ttl"
     r"|path|file|filename|dir|env|var|param|expiry|expires|policy|rule|rules|error|format|input|form|column|scope|issuer|endpoint|provider|method|class|count|limit|index"
 )
+_STUB = r"example|sample|dummy|placeholder|change[_-]?me|todo|fixme|redacted|not[_-]?a[_-]?real|fake|foobar|lorem"
+#: Whole values that stand for a credential: marks, types, stub words with other words, and 'your ...', 'my ...' of a secret.
 PLACEHOLDER = re.compile(
-    r"""<[^>]*>\Z | \$\{ | \$\( | \{\{ | %\( | %[A-Z_]+% | \$[A-Za-z_]\w*\Z | \{\w*\}\Z | [*•.xX_\-]+\Z | (?:none|null|nil|true|false|undefined|empty)\Z
-    | (?:your|my|our|the|an?|some|insert|enter|put|replace|change|add|set|fill|use|paste|provide|type|choose)[\ _-] | (?:change|replace|fill|set)[_-]?(?:me|this|it)
-    | .*(?:example|sample|dummy|placeholder|changeme|todo|fixme|redacted|not[_-]a[_-]real|fake|foobar|lorem)
-    | (?:password|passwd|secret|token|test|testing|user_password|string|value|key)\Z""",
+    rf"""(?:<[^>]*> | %[A-Z_]+% | \$[A-Za-z_]\w* | \{{\w*\}} | (?:[a-z]+[_-])*[*•.xX_\-]+ | (?:none|null|nil|true|false|undefined|empty)
+    | (?:password|passwd|secret|token|test|testing|user_password|string|value|key|str|number|boolean|required|optional|invalid|missing|hidden|masked|default|include|omit|same-origin|basic|bearer)
+    | (?:change|replace|fill|set)[_-]?(?:me|this|it)[\W_a-z]*\d{{0,4}}[\W_]*
+    | (?:your|insert|enter|put|replace|add|fill|paste|provide|type|choose)(?:[\ _-]+[a-z]+)+[\W_]*
+    | (?:your|my|our|the|an?|some|insert|enter|put|replace|change|add|set|fill|use|paste|provide|type|choose)(?:[\ _-]+(?:[a-z]+|\d{{1,4}}))*?[\ _-]+(?:{SECRET}|key|value|string|here|env|vault)(?:[\ _-]+(?:[a-z]+|\d{{1,4}}))*[\W_]*
+    | (?:[a-z]*[\W_])*(?:{_STUB})(?:[\W_][a-z]*)*\d{{0,4}}
+    | (?-i:[A-Za-z0-9/+_-]*EXAMPLE(?:KEY|TOKEN)?))\Z
+    | \$\{{ | \$\( | \{{\{{ | %\(""",
     re.I | re.X,
 )
+#: A value of nothing but these, a stub word among them, is a placeholder too.
+STUB, STUB_WORDS = re.compile(_STUB, re.I), re.compile(rf"{_STUB}|{SECRET}|key|value|string|user|for|my|your|only|here|test|[\W_]+|(?<!\d)\d{{1,4}}(?!\d)", re.I)
+#: Values of several words that speak about a secret: prompts and messages.
+MESSAGE = re.compile(rf".*(?<![a-z])(?:{SECRET}|must|should|cannot|can't|please|required|invalid|incorrect|missing|your|is|are|was|has|have|enter|forgot|show|confirm)(?![a-z])", re.I | re.S)
+#: Names that also stand for other things than a literal secret: only values that don't read like language count there.
+VAGUE = re.compile(r"(?:token|auth|credentials?|pass|pw)\Z", re.I)
+#: What may follow a secret's name: environment, age, order, encoding.
+SUFFIX = re.compile(r"(?:[_\-]?(?:prod(?:uction)?|staging|stage|dev(?:elopment)?|test|qa|uat|live|local|old|new|prev(?:ious)?|current|primary|secondary|backup|base64|b64|hex|raw|plain|v?\d{1,3}))+\Z", re.I)
+ACCESS_ID = re.compile(r"access[_\-]?key[_\-]?id\Z", re.I)
+#: Files whose values need no quotes.
+SETTINGS = re.compile(r"(?:\.(?:env|ini|cfg|conf|properties|ya?ml|npmrc|pypirc)|(?:^|[\\/])\.env(?:\.[\w-]+)?)\Z", re.I)
 REFERENCE = re.compile(
     r"(?:os|process|System|config|settings|env|vault|secrets?|var|local|data|self|this|request|req|params|args|ctx|module|each|inputs)\.[\w.\[\]\"'()]+|[A-Za-z_][\w.:]*\(.*|[\w.]+\[[^\]]*\].*|op://\S+|vault:\S+|arn:\S+"
 )
@@ -61,7 +80,7 @@ COMMAND = re.compile(
 PAIR = re.compile(rf"auth\s*=\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*')\s*,\s*{QUOTED.format('p')}|getConnection\(\s*\"[^\"\n]*\"\s*,\s*\"[^\"\n]*\"\s*,\s*{QUOTED.format('q')}", re.I)
 ASSIGNED = re.compile(
     # name, an optional type, an operator, perhaps what it falls back from, and a literal
-    rf"(?P<name>{NAME}[\w.\-]*)[\"'`]?\]?\s*(?::\s*(?:str|string|String|any|char\[\])\s*=|:=|===?|!==?|=>|[:=,])\s*(?:(?:[\w.\[\]\"']+)\s*(?:\|\||\?\?|or)\s*)?(?:[a-zA-Z]{{1,2}}(?=[\"']))?{QUOTED.format('a')}",
+    rf"(?P<name>{NAME}[\w.\-]*)[\"'`]?\]?\s*(?P<op>:\s*(?:str|string|String|any|char\[\])\s*=|:=|===?|!==?|=>|[:=,])\s*(?:(?:[\w.\[\]\"']+)\s*(?:\|\||\?\?|or)\s*)?(?:[a-zA-Z]{{1,2}}(?=[\"']))?{QUOTED.format('a')}",
     re.I,
 )
 CALLED = re.compile(rf"(?P<name>{NAME}\w*)[\"']?\s*(?:,\s*default\s*=\s*|,\s*)?\(?\s*{QUOTED.format('c')}", re.I)
@@ -101,16 +120,28 @@ def characters_per_subword(value: str) -> float:
 def _labelled(name: str) -> bool:
     """Whether a name is about a secret but holds something else: ``token_header``, ``passwordLabel``."""
     last = re.split(r"[_.\-/:]|(?<=[a-z0-9])(?=[A-Z])", name.strip("\"'"))[-1]
+    if ACCESS_ID.search(name.strip("\"'")):
+        return False
     return bool(re.fullmatch(LABELS, last, re.I))
 
 
 SECRET_PART = re.compile(rf"(?:{SECRET})\Z", re.I)
 
 
+def _words(name: str) -> str:
+    """The last part of a dotted name, its words set apart, without what may follow a secret's name."""
+    return SUFFIX.sub("", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", re.split(r"[./:]", name.strip("\"'"))[-1]))
+
+
+def _explicit(name: str) -> bool:
+    """Whether a literal given to the name is a secret whatever it reads like."""
+    return not VAGUE.search(_words(name))
+
+
 def _secret_name(name: str) -> bool:
     """Whether a name is one of a secret: its last words are such, not merely letters inside another word."""
-    words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", re.split(r"[./:]", name.strip("\"'"))[-1])
-    m = SECRET_PART.search(words) or SECRET_PART.search(words.replace("_", ""))
+    words = _words(name)
+    m = ACCESS_ID.search(words) or SECRET_PART.search(words) or SECRET_PART.search(words.replace("_", ""))
     if not m or _labelled(name):
         return False
     short = m.group().lower() in ("pw", "pwd", "pass", "auth")
@@ -119,14 +150,16 @@ def _secret_name(name: str) -> bool:
 
 def _placeholder(value: str) -> bool:
     v = value.strip()
-    return len(v) < SHORTEST or bool(PLACEHOLDER.match(v)) or len(set(v.lower())) < 4
+    return len(v) < SHORTEST or bool(PLACEHOLDER.match(v)) or len(set(v.lower())) < 4 or bool(STUB.search(v)) and not STUB_WORDS.sub("", v)
 
 
-def _counts(value: str, quoted: bool) -> bool:
-    """Whether a value in the place of a secret is one."""
+def _counts(value: str, quoted: bool, explicit: bool = False) -> bool:
+    """Whether a value in the place of a secret is one; in an explicit place any literal is that isn't a message."""
     if _placeholder(value) or not quoted and REFERENCE.fullmatch(value):
         return False
     words = value.split()
+    if explicit:
+        return len(words) == 1 or not MESSAGE.match(value)
     digits = any(c.isdigit() for c in value)
     if len(words) > 6 or len(words) > 1 and (not digits or not words[-1][-1:].isdigit() or value[0].isupper() and not words[-1].isdigit()):
         return False
@@ -162,7 +195,7 @@ def credential_spans(text: str, path: str = "", is_path: bool = False) -> list[t
         add(m.start(), m.end(), m.end() - m.start() > 100)
     for m in FORM.finditer(text):
         body = re.sub(r"^(?:[a-z]+_live_|[a-z]+_test_|[a-z_]{2,11}[_-]|AKIA|ASIA|AIza)", "", m.group())
-        add(m.start(), m.end(), len(set(body.lower())) > 5 and not PLACEHOLDER.match(m.group()))
+        add(m.start(), m.end(), len(set(body.lower())) > 5 and not _placeholder(m.group()))
     if is_path:
         for m in IN_PATH.finditer(text):
             add(*m.span("v"), len(m["v"]) >= 8 and _random(m["v"]))
@@ -174,7 +207,7 @@ def credential_spans(text: str, path: str = "", is_path: bool = False) -> list[t
         add(*m.span(kind), _random(m[kind]) and any(c.isdigit() or c.isupper() for c in m[kind]))
     for m in PAIR.finditer(text):
         value, a, b = _group(m, "p") or _group(m, "q")
-        add(a, b, _counts(value, True))
+        add(a, b, _counts(value, True, True))
     for m in COMMAND.finditer(text):
         kind = "v" if m["v"] else "w" if m["w"] else "x"
         add(*m.span(kind), _counts(m[kind], False))
@@ -182,7 +215,8 @@ def credential_spans(text: str, path: str = "", is_path: bool = False) -> list[t
         for m in pattern.finditer(text):
             got = _group(m, key) or (m["vu"], *m.span("vu"))
             if _secret_name(m["name"]):
-                add(got[1], got[2], _counts(got[0], True))
+                listed = key == "a" and m["op"] == ","  # perhaps one name after another
+                add(got[1], got[2], _counts(got[0], True, not listed and _explicit(m["name"])))
     for m in PLAIN.finditer(text):
         if _secret_name(m["name"]):
             value = m["v"]
@@ -190,7 +224,7 @@ def credential_spans(text: str, path: str = "", is_path: bool = False) -> list[t
             commented = bool(m["lead"].strip())
             settings = m["op"] == "=" or commented or not spaced
             if not (value.endswith((";", ",", "{", "(")) or spaced and not (commented or settings)):
-                add(m.start("v"), m.start("v") + len(value.rstrip()), _counts(value.rstrip(), False))
+                add(m.start("v"), m.start("v") + len(value.rstrip()), _counts(value.rstrip(), False, bool(SETTINGS.search(path)) and _explicit(m["name"])))
     base = re.split(r"[\\/]", path.lower())[-1]
     if base.endswith("netrc"):
         for m in NETRC.finditer(text):

@@ -72,3 +72,23 @@ def test_each_rule_alone_passes_the_filter(spark):
     assert got == {(i, a, b) for i, (t, p) in enumerate(texts) for a, b in credential_spans(t, p)}
     same = {r.file_id for r in redacted(df, "content", "file_id", F.col("relative_path")).collect() if r.content == texts[r.file_id][0]}
     assert same == set()
+
+
+LITERALS = [
+    ('passphrase = "<correct horse battery staple>"', ""), ('passphrase = "<the quick brown fox jumps over a lazy dog>"', ""), ('password = "<swordfish>"', ""), ('api_key = "<a_9f8e7d6c5b4a>"', ""), ('secret = "<my-Tundra-8862>"', ""),
+    ('password = "<xTodo9f8SampleQ2>"', ""), ('DB_PASSWORD_PROD = "<swordfish>"', ""), ('password2 = "<swordfish>"', ""), ('aws_access_key_id = "<minio-Tundra88>"', ""), ("DB_PASSWORD=<swordfish>", "conf/app.properties"),
+]
+NO_LITERALS = [
+    'password = "Enter your password"', 'password = "must not be blank"', 'credentials: "include"', 'KEYS = ["password", "username", "secret"]', "password = other_variable", 'password = "your-api-key-123"', 'api_key = "dummy-key-for-tests"',
+    'api_key = "exampletoken"', 'secret_key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"', 'password = "changeme123"', 'token_id = "session"', 'token = "identifier"',
+]
+
+
+@pytest.mark.parametrize("marked, path", LITERALS)
+def test_literals_of_explicit_names_count(marked, path):
+    test_found(marked, path)
+
+
+@pytest.mark.parametrize("text", NO_LITERALS)
+def test_no_literals(text):
+    assert credential_spans(text) == []
