@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import forward_slashes
+from codequarry.session import shared_dir
 from codequarry.sources.files import lines
 
 FROM = r"^\s*from\s+(\.*)([\w.]*)\s+import\b"
@@ -47,15 +48,71 @@ def import_edges(files: DataFrame, owner: str = "repository_id") -> DataFrame:
     return longest.select(owner, "src", "dst").distinct()
 
 
+def _trimmed(e: DataFrame, owner: str) -> DataFrame:
+    """The edges without those from modules that nothing imports and to modules that import nothing, again and again."""
+    n = e.count()
+    while n:
+        e = e.join(e.select(owner, F.col("src").alias("dst")).distinct(), [owner, "dst"], "left_semi")
+        e = e.join(e.select(owner, F.col("dst").alias("src")).distinct(), [owner, "src"], "left_semi").select(owner, "src", "dst").checkpoint()
+        before, n = n, e.count()
+        if n == before:
+            break
+    return e
+
+
+def _coloured(e: DataFrame, owner: str) -> DataFrame:
+    """``owner, module, colour``: the least module from which each module is reached, itself included."""
+    colours = e.select(owner, F.col("src").alias("module")).union(e.select(owner, "dst")).distinct().withColumn("colour", F.col("module")).checkpoint()
+    fresh = colours
+    while not fresh.isEmpty():
+        offered = e.join(fresh.withColumnRenamed("module", "src"), [owner, "src"]).groupBy(owner, F.col("dst").alias("module")).agg(F.min("colour").alias("_c"))
+        spread = colours.join(offered, [owner, "module"], "left").withColumn("_new", F.coalesce(F.col("_c") < F.col("colour"), F.lit(False)))
+        spread = spread.select(owner, "module", F.least("colour", "_c").alias("colour"), "_new").checkpoint()
+        colours, fresh = spread.drop("_new"), spread.where("_new").drop("_new")
+    return colours
+
+
+def import_components(edges: DataFrame, owner: str = "repository_id") -> DataFrame:
+    """``owner, module, component, n_modules`` of every module that lies on a cycle, whatever its length.
+
+    A component is a strongly connected one of at least two modules, named by its least module: two modules share
+    it exactly if each imports the other, directly or through others. Self-imports are no cycles.
+
+    Rounds until no edge is left: modules that can't lie on a cycle are trimmed, least labels are spread forwards,
+    and what reaches its own label's module backwards is that module's component. Each step is cut by a checkpoint;
+    only counts go to the driver.
+    """
+    shared_dir(edges.sparkSession)
+    e = edges.where((F.col("src") != F.col("dst")) & F.col(owner).isNotNull()).select(owner, "src", "dst").distinct().checkpoint()
+    found = e.select(owner, F.col("src").alias("module"), F.col("src").alias("component")).limit(0)
+    while not (e := _trimmed(e, owner)).isEmpty():
+        colours = _coloured(e, owner)
+        inner = e.join(colours.withColumnRenamed("module", "src"), [owner, "src"]).withColumnRenamed("colour", "_c")
+        inner = inner.join(colours.withColumnRenamed("module", "dst"), [owner, "dst"]).where(F.col("colour") == F.col("_c")).select(owner, "src", "dst").checkpoint()
+        reached = fresh = colours.where(F.col("module") == F.col("colour")).checkpoint()
+        while True:
+            back = inner.join(fresh.withColumnRenamed("module", "dst"), [owner, "dst"]).select(owner, F.col("src").alias("module"), "colour").distinct()
+            fresh = back.join(reached, [owner, "module"], "left_anti").checkpoint()
+            if fresh.isEmpty():
+                break
+            reached = reached.unionByName(fresh).checkpoint()
+        found = found.unionByName(reached.withColumnRenamed("colour", "component"))
+        gone = reached.select(owner, F.col("module").alias("src"))
+        e = inner.join(gone, [owner, "src"], "left_anti").join(gone.withColumnRenamed("src", "dst"), [owner, "dst"], "left_anti").select(owner, "src", "dst").checkpoint()
+    sizes = found.groupBy(owner, "component").agg(F.count("*").alias("n_modules")).where("n_modules > 1")
+    return found.join(sizes, [owner, "component"]).select(owner, "module", "component", "n_modules")
+
+
 def import_cycles(edges: DataFrame, longest: int = 4, owner: str = "repository_id") -> DataFrame:
     """``owner, members`` of every cycle of at most ``longest`` modules, each once, from its least member on.
 
-    Paths start at their least module and never visit one twice, so a cycle is found exactly once. Modules that
-    nothing imports, or that import nothing, are dropped before. Self-imports are no cycles.
+    Cycles of any length are in ``import_components``; this lists the short ones among their modules. Paths start
+    at their least module and never visit one twice, so a cycle is found exactly once. Self-imports are no cycles.
     """
-    e = edges.where(F.col("src") != F.col("dst"))
-    e = e.join(e.select(owner, F.col("src").alias("dst")).distinct(), [owner, "dst"], "left_semi")
-    e = e.join(edges.select(owner, F.col("dst").alias("src")).distinct(), [owner, "src"], "left_semi").select(owner, "src", "dst")
+    parts = import_components(edges, owner).checkpoint()
+    of = lambda end: parts.select(owner, F.col("module").alias(end), F.col("component").alias(f"_{end}"))
+    e = edges.where(F.col("src") != F.col("dst")).join(of("src"), [owner, "src"]).join(of("dst"), [owner, "dst"])
+    e = e.where(F.col("_src") == F.col("_dst")).select(owner, "src", "dst").distinct().checkpoint()
     paths = e.where(F.col("dst") > F.col("src")).select(owner, F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
     found = None
     for n in range(2, longest + 1):

@@ -362,6 +362,11 @@ def import_edges(spark, root):
     return imports.import_edges(table(spark, root, "source_files", "repository_id", "relative_path", "content"))
 
 
+@query
+def import_components(spark, root):
+    return imports.import_components(import_edges(spark, root))
+
+
 @query
 def import_cycles(spark, root):
     return imports.import_cycles(import_edges(spark, root))

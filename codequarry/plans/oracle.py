@@ -283,6 +283,11 @@ SQL: dict[str, str] = {
         j AS (SELECT d.name, d.version, advisory_id, CASE WHEN version IS NULL THEN 40 WHEN {_version("version")} < {_version("fix")} THEN 75 END AS confidence
           FROM d JOIN a ON lower(d.name) = lower(a.name)) SELECT * FROM j WHERE confidence IS NOT NULL""",
     "import_edges": f"WITH {EDGES} SELECT * FROM e",
+    "import_components": f"""WITH RECURSIVE {EDGES}, r AS (SELECT repository_id, src, dst FROM e WHERE src <> dst UNION
+          SELECT r.repository_id, r.src, e.dst FROM r JOIN e ON e.repository_id = r.repository_id AND e.src = r.dst),
+        c AS (SELECT a.repository_id, a.src AS module, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON b.repository_id = a.repository_id AND b.src = a.dst AND b.dst = a.src
+          WHERE a.src <> a.dst GROUP BY 1, 2)
+        SELECT *, count(*) OVER (PARTITION BY repository_id, component) AS n_modules FROM c""",
     "import_cycles": f"""WITH RECURSIVE {EDGES}, p AS (
           SELECT repository_id, [src, dst] AS path, dst AS at FROM e WHERE dst > src UNION ALL
           SELECT p.repository_id, list_append(path, e.dst), e.dst FROM p JOIN e ON e.repository_id = p.repository_id AND e.src = p.at
