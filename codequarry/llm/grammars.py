@@ -40,7 +40,9 @@ target: name | place | '(' [targets] ')' | '[' [targets] ']'
 place: atom {trailer} ('.' name | '[' slices ']')
 trailer: '.' name | '[' slices ']' | '(' [args] ')'
 name: ID | 'match' | 'case' | 'type'
-atom: name | NUM | STR {STR} | 'None' | 'True' | 'False' | '...' | '(' [yielded | items] ')' | '[' [items] ']' | '{' [entries] '}'
+text: STR | FSTR {field} FEND
+field: FIELD (yielded | exprs) ['='] [CONV] [SPEC {field}] CLOSE
+atom: name | NUM | text {text} | 'None' | 'True' | 'False' | '...' | '(' [yielded | items] ')' | '[' [items] ']' | '{' [entries] '}'
 items: item comp | item {',' item} [',']
 item: '*' disj | named
 named: name ':=' expr | expr
@@ -48,16 +50,22 @@ entries: entry comp | entry {',' entry} [','] | items
 entry: expr ':' expr | '**' disj
 comp: compfor {compfor | 'if' disj | 'if' name ':=' disj}
 compfor: ['async'] 'for' targets 'in' disj
-args: arg {',' arg} [',']
-arg: named | named comp | name '=' expr | '*' expr | '**' expr
+args: named comp | pos {',' pos} {',' later} {',' last} [','] | kwarg {',' later} {',' last} [','] | '**' expr {',' last} [',']
+pos: named | '*' expr
+kwarg: name '=' expr
+later: kwarg | '*' expr
+last: kwarg | '**' expr
 slices: slice {',' slice} [',']
 slice: [expr] ':' [expr] [':' [expr]] | named | '*' disj
 unary: {'-' | '+' | '~' | 'not'} ['await'] atom {trailer}
 disj: unary {OP unary | operator unary}
-operator: '+' | '-' | '*' | '**' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' ['not'] | '|'
+operator: '+' | '-' | '*' | '**' | '/' | '@' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' ['not'] | '|'
 expr: disj ['if' disj 'else' expr] | 'lambda' [lparams] ':' expr
-lparams: lparam {',' lparam} [',']
-lparam: name ['=' expr] | '*' [name] | '**' name | '/'
+lparams: name {',' name} [',' '/' {',' name}] {',' lopt} [',' lrest] [','] | name {',' name} ',' lopt {',' lopt} ',' '/' {',' lopt} [',' lrest] [',']
+  | lopt {',' lopt} [',' '/' {',' lopt}] [',' lrest] [','] | lrest [',']
+lopt: name '=' expr
+lrest: '*' name {',' lkey} [',' '**' name] | '*' ',' lkey {',' lkey} [',' '**' name] | '**' name
+lkey: name ['=' expr]
 exprs: element {',' element} [',']
 element: '*' disj | expr
 yielded: 'yield' [exprs | 'from' expr]
@@ -75,8 +83,12 @@ finally: 'finally' ':' block
 except: 'except' [['*'] expr ['as' name]] ':' block
 with: expr ['as' target]
 def: 'def' name [tparams] '(' [params] ')' ['->' expr] ':' block
-params: param {',' param} [',']
-param: name [':' expr] ['=' expr] | '*' [name [':' ['*'] expr]] | '**' name [':' expr] | '/'
+params: req {',' req} [',' '/' {',' req}] {',' opt} [',' rest] [','] | req {',' req} ',' opt {',' opt} ',' '/' {',' opt} [',' rest] [',']
+  | opt {',' opt} [',' '/' {',' opt}] [',' rest] [','] | rest [',']
+req: name [':' expr]
+opt: name [':' expr] '=' expr
+rest: '*' name [':' ['*'] expr] {',' key} [',' '**' req] | '*' ',' key {',' key} [',' '**' req] | '**' req
+key: name [':' expr] ['=' expr]
 tparams: '[' tparam {',' tparam} [','] ']'
 tparam: ['*' | '**'] name [':' expr] ['=' expr]
 class: 'class' name [tparams] ['(' [args] ')'] ':' block

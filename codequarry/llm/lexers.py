@@ -76,18 +76,107 @@ def lex_toml(text: str) -> Lexed:
 
 PY_MARKS, PY_KINDS = _marks("python", "/ // % << >> & ^ == != < > <= >=", "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=")
 PY_STRING = r"""(?P<STR>(?i:[rbu]|br|rb)?(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'))"""
-_FIELD = r"""\{(?:[^{}"'\n]|"[^"\n]*"|'[^'\n]*'|\{(?:[^{}"'\n]|"[^"\n]*"|'[^'\n]*'|\{[^{}\n]*\})*\})+\}"""
-_LONG_FIELD = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})+\}"
-PY_FSTRING = (
-    rf"""(?P<FSTR>(?i:f|fr|rf)(?:\"\"\"(?:[^\\{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{_LONG_FIELD})*?\"\"\"|'''(?:[^\\{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{_LONG_FIELD})*?'''"""
-    rf"""|"(?:[^"\\\n\r{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{_FIELD})*"|'(?:[^'\\\n\r{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{_FIELD})*'))"""
-)
+PY_FSTRING = r"""(?P<FSTR>(?i:f|fr|rf)(?:\"\"\"|'''|"|'))"""
 PY_TOKEN = re.compile(
     rf"(?:[ \t\f]|\\\r?\n|\#[^\n\r]*)*(?:(?P<NL>\r\n|\n|\r)|{PY_FSTRING}|{PY_STRING}|(?P<NUM>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+"
     r"|(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?)[jJ]?(?!\w)|\d+(?=(?:if|or|in|is|and|else)\b))"
     rf"|(?P<ID>[^\W\d]\w*)|(?P<mark>{PY_MARKS})|(?P<end>\Z)|(?P<bad>[\s\S]))"
 )
 PY_WORDS = _words("python")
+# escapes that are errors, with an even number of backslashes before them; in bytes only \\x is an escape
+_ESCAPED = r"(?<!\\)(?:\\\\)*\\"
+PY_BROKEN = re.compile(_ESCAPED + r"(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4})|N(?!\{[^{}]+\}))")
+PY_BROKEN_BYTES = re.compile(_ESCAPED + r"x(?![0-9a-fA-F]{2})|[^\x00-\x7f]")
+GO_BROKEN = re.compile(_ESCAPED + r"(?![abfnrtv\\\"]|x[0-9a-fA-F]{2}|[0-3][0-7]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})")
+JAVA_BROKEN = re.compile(_ESCAPED + r"(?![btnfrs\"'\\\r\n]|[0-7]|u+[0-9a-fA-F]{4})")
+JS_BROKEN = re.compile(_ESCAPED + r"(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4}|\{0*(?:10)?[0-9a-fA-F]{1,5}\})|[1-9]|0\d)")
+PLAIN_TEXT = re.compile(r"[^\\{}\"'\n\r]+")
+CONVERSION = re.compile(r"![rsa](?!\w)")
+
+
+def _broken_python(token: str) -> bool:
+    prefix = token[: min(token.find(q) % (len(token) + 1) for q in "\"'")].lower()
+    if "b" in prefix:
+        return bool(PY_BROKEN_BYTES.search(token)) if "r" not in prefix else not token.isascii()
+    return "\\" in token and "r" not in prefix and bool(PY_BROKEN.search(token))
+
+
+def _fstring(text: str, pos: int, quote: str, raw: bool, out: Lexed) -> int:
+    """Tokens of an f-string from after its opening quote, fields lexed like code; its end, or -1 behind a BAD token."""
+    begin = pos
+
+    def put(kind: str, where: int) -> int:
+        out.kinds.append(kind)
+        out.at.append(where)
+        return -1
+
+    def field(pos: int) -> int:
+        depth = 0
+        while True:
+            m = PY_TOKEN.match(text, pos)
+            kind = m.lastgroup
+            start, pos = m.start(kind), m.end()
+            if kind == "NL":
+                continue
+            if kind == "FSTR":
+                put(kind, start)
+                pos = _fstring(text, pos, m[kind].lstrip("fFrR"), "r" in m[kind].lower(), out)
+                if pos < 0:
+                    return -1
+                continue
+            if kind == "ID":
+                kind = m["ID"] if m["ID"] in PY_WORDS else kind
+            elif kind == "mark":
+                mark = m["mark"]
+                if not depth and mark == "}":
+                    put("CLOSE", start)
+                    return pos
+                if not depth and mark[0] == ":":
+                    put("SPEC", start)
+                    return literal(start + 1, True)
+                kind = PY_KINDS[mark]
+                depth += (kind in ("(", "[", "{")) - (kind in (")", "]", "}"))
+                if depth < 0:
+                    return put(BAD, start)
+            elif kind == "bad" and not depth and (c := CONVERSION.match(text, start)):
+                kind, pos = "CONV", c.end()
+            elif kind in ("bad", "end") or kind == "NUM" and ZERO_LED.match(m["NUM"]) or kind == "STR" and _broken_python(m["STR"]):
+                return put(BAD, start)
+            put(kind, start)
+
+    def literal(pos: int, spec: bool) -> int:
+        begin = pos
+        while True:
+            if m := PLAIN_TEXT.match(text, pos):
+                pos = m.end()
+            c = text[pos : pos + 1]
+            if not c or len(quote) == 1 and c in "\n\r" or text.startswith(quote, pos) and spec:
+                return put(BAD, pos)
+            if text.startswith(quote, pos) or c == "}" and spec:
+                if not raw and PY_BROKEN.search(text[begin:pos]):
+                    return put(BAD, begin)
+                put("CLOSE" if spec else "FEND", pos)
+                return pos + (1 if spec else len(quote))
+            if c in "{}" and not spec and text[pos + 1 : pos + 2] == c:
+                pos += 2
+            elif c == "}":
+                return put(BAD, pos)
+            elif c == "{":
+                if not raw and PY_BROKEN.search(text[begin:pos]):
+                    return put(BAD, begin)
+                put("FIELD", pos)
+                pos = begin = field(pos + 1)
+                if pos < 0:
+                    return -1
+            elif c == "\\":
+                named = not raw and re.compile(r"\\N\{[^{}\n]+\}").match(text, pos)
+                after = text[pos + 1 : pos + 2]
+                pos = named.end() if named else pos + (1 if after in "{}" else 3 if text[pos + 1 : pos + 3] == "\r\n" else 2)
+            else:
+                pos += 1
+
+    return literal(begin, False)
+
 ZERO_LED = re.compile(r"0[\d_]*[1-9][\d_]*\Z")
 INDENT = re.compile(r"[ \t\f]*")
 
@@ -143,8 +232,13 @@ def lex_python(text: str) -> Lexed:
             elif kind in (")", "]", "}"):
                 depth = max(0, depth - 1)
         elif kind == "FSTR":
-            kind = "STR"
-        elif kind == "bad" or kind == "NUM" and ZERO_LED.match(m["NUM"]):
+            kinds.append(kind)
+            at.append(start)
+            pos = _fstring(text, pos, m["FSTR"].lstrip("fFrR"), "r" in m["FSTR"].lower(), out)
+            if pos < 0:
+                return out
+            continue
+        elif kind == "bad" or kind == "NUM" and ZERO_LED.match(m["NUM"]) or kind == "STR" and _broken_python(m["STR"]):
             kinds.append(BAD)
             at.append(start)
             return out
@@ -185,7 +279,7 @@ def lex_go(text: str) -> Lexed:
             kind = word if word in GO_WORDS else kind
         elif kind == "mark":
             kind = GO_KINDS[m["mark"]]
-        elif kind == "bad":
+        elif kind == "bad" or kind == "STR" and m["STR"][0] == '"' and GO_BROKEN.search(m["STR"]):
             kind = BAD
         last = kind
         kinds.append("NUM" if kind == "CHAR" else kind)
@@ -223,7 +317,7 @@ def lex_java(text: str) -> Lexed:
             kind = JAVA_KINDS[m["mark"]]
         elif kind == "word":
             kind = m["word"]
-        elif kind == "bad":
+        elif kind == "bad" or kind == "STR" and JAVA_BROKEN.search(m["STR"]):
             kind = BAD
         kinds.append(kind)
         at.append(m.start(m.lastgroup))
@@ -287,7 +381,7 @@ def lex_script(text: str, language: str) -> Lexed:
                         braces.append("${")
         elif kind == "HEAD":
             braces.append("${")
-        if kind == "bad":
+        if kind == "bad" or kind == "STR" and JS_BROKEN.search(m["STR"]):
             kind = BAD
         if newline and (last in RESTRICTED or kind in ("++", "--") and last in JS_VALUES) and kind not in (";", "}"):
             kinds.append(";")

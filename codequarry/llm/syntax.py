@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tomllib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +29,25 @@ def first_error(text: str, language: str) -> tuple[int, str] | None:
     lexed = lex(text, language)
     at = grammar(language).parse(lexed.kinds, lexed.breaks)
     if at < 0:
-        return None
+        return _repeated(text) if language == "toml" else None
     return (lexed.at[at], "token") if at < len(lexed.kinds) else (len(text), "end")
 
 
+def _repeated(text: str) -> tuple[int, str] | None:
+    """What TOML refuses in a text that parses: keys and tables defined twice, values that are no dates."""
+    try:
+        tomllib.loads(text)
+    except tomllib.TOMLDecodeError as e:
+        m = re.search(r"\(at line (\d+), column (\d+)\)", str(e))
+        if not m:
+            return len(text), "end"
+        line = text.replace("\r\n", "\n").split("\n")[: int(m[1]) - 1]
+        return min(len(text), sum(map(len, line)) + len(line) * (2 if "\r\n" in text else 1) + int(m[2]) - 1), "token"
+    except (ValueError, RecursionError):  # limits of the reader, not of the language
+        return None
+    return None
+
+
 def syntax_errors(files: DataFrame) -> DataFrame:
     """``file_id, language, at, kind`` of every file of a checked language that doesn't parse.
 

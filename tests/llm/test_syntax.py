@@ -88,3 +88,28 @@ def test_tables(spark):
     assert {tuple(x) for x in syntax_errors(df).collect()} == {(1, "python", 5, "end"), (5, "json", 0, "end")}
     assert {tuple(x) for x in error_rates(df).collect()} == {("r", "python", 2, 1, 0.5), ("q", "json", 1, 1, 1.0)}
     assert syntax_errors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+UNSEEN = {
+    "python": ['f"{a b}"', 'f"{a +}"', 'f"{ }"', '"\\x1"', "b'\\xg1'", 'f"\\x1{a}"', "def f(a=1, b): pass", "f(a=1, b)", "lambda a=1, b: a", "f(**a, *b)", "f(x for x in y, 1)", "def f(*): pass", 'f"{a!x}"', 'f"{a:{b c}}"', 'f"a}"', "def f(**k, a): pass"],
+    "toml": ["a = 1\na = 2\n", "[a]\n[a]\n", "a = {b = 1, b = 2}\n", "a = 1\na.b = 2\n"], "javascript": ["x = '\\x1'", "x = '\\u12'", "x = '\\07'"], "java": ['class A { String s = "\\q"; }'], "go": ['package a\nvar x = "\\q"\n'],
+}
+STILL = {
+    "python": [
+        "f'{a!r:>{w}.{p}} {{b}} {x=} {d[\"k\"]:%Y} {y = !s} {(lambda: 1)()} {a!=b}'", "f'''{\n a  # note\n}\n'''", "rf'\\d{a}\\{b}' f\"\\N{BULLET}{f'{c}'}\"", "'\\\\x' r'\\x' '\\x41\\u00e9'", "b'\\N'", "f(a, *b, c=1, *d, **e, g=2)", "f(x for x in y)", "f'{*a, b}'",
+        "def f(a, b=1, /, c=2, *d, e, f=3, **g): pass", "def f(a, /, b, *, c, d=1,): pass", "def f(*, a): pass", "lambda a, b=1, *c, d, **e: a", "f(**a, b=1, **c)", "def f(**k,): pass", "x = a / b // c\n", 'x = f"{a:=5}" ""', "f'{a\n}'",
+    ],
+    "toml": ["[a]\nb = 1\n[c]\nb = 1\n[[d]]\nx = 1\n[[d]]\nx = 1\n"], "javascript": ["x = '\\x41\\u{1F600}\\0\\d'"], "java": ['class A { String s = "\\t\\u00e9\\07"; }'], "go": ['package a\nvar x = "\\t\\x41\\u00e9\\101"\n'],
+}
+
+
+@pytest.mark.parametrize("language, text", CASES(UNSEEN))
+def test_errors_inside_tokens_and_of_order(language, text):
+    assert first_error(text, language) is not None
+
+
+@pytest.mark.parametrize("language, text", CASES(STILL))
+def test_their_valid_neighbours(language, text):
+    assert first_error(text, language) is None
+    if language == "python":
+        ast.parse(text)
