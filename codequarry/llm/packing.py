@@ -7,8 +7,9 @@ block holds the rest, so that over the whole corpus only a handful of containers
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from codequarry.session import shared_dir
 
 #: Tokens of a container; items packed by one task; room (a fraction of the capacity) from which a container is
-#: opened again in the next round; steps that one search for a filling, and one search over containers, may take.
+#: opened again in the next round; steps that a listing of fillings may take, and the search over containers for each container of the block.
 CAPACITY, BLOCK, LOOSE, FILL_STEPS, SEARCH_STEPS = 2048, 4096, 1 / 64, 4000, 2000
 
 
@@ -42,86 +43,94 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
     return max(-(-sum(sizes) // capacity), sum(1 for s in sizes if 2 * s > capacity))
 
 
-def fillings(left: Counter, room: int, steps: int = FILL_STEPS) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` from the sizes left, the fullest first.
+def each_filling(left: Counter, room: int, waste: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` from the sizes left, one after another: bands of rising waste, larger sizes first.
 
-    Sizes are tried in descending order, so a filling is only kept if it wastes less than those before it; one
-    in which a larger unused size could take the place of a chosen one is dominated and dropped. The search
-    ends at a filling without waste or after ``steps`` steps, with the best found so far.
+    Every maximal filling that leaves at most ``waste`` unused comes, those of equal totals included, but for the
+    dominated (Martello and Toth): one in which an unused larger size could take the place of a chosen one.
+    Each step is taken from ``steps[0]``; when none is left no more come.
     """
     sizes = sorted((s for s, n in left.items() if n and 0 < s <= room), reverse=True)
     tails = [0] * (len(sizes) + 1)
     for i in range(len(sizes) - 1, -1, -1):
         tails[i] = tails[i + 1] + sizes[i] * left[sizes[i]]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    best = -1
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and steps and best < room:
-        steps -= 1
-        i, free, chosen = stack.pop()
-        while i < len(sizes) and sizes[i] > free:
-            i += 1
-        if room - free > best and (i == len(sizes) or free == 0):
-            best = room - free
-            found.append((best, chosen))
-        if i == len(sizes) or free == 0 or room - free + min(free, tails[i]) <= best:
-            continue
-        size = sizes[i]
-        most = min(left[size], free // size)
-        for n in range(0, most + 1):  # the stack is last in, first out: many of the larger size come first
-            stack.append((i + 1, free - n * size, chosen + (size,) * n))
-    if not found:
-        return [()]
-
-    def dominated(total: int, chosen: tuple[int, ...]) -> bool:
-        used = Counter(chosen)
-        return any(x > y and left[x] > used[x] and total - y + x <= room for y in set(chosen) for x in sizes)
+    rising, counts = sizes[::-1], {s: left[s] for s in sizes}
 
-    kept = [c for total, c in sorted(found, reverse=True) if not dominated(total, c)]
-    return kept or [max(found)[1]]
+    def undominated(chosen: tuple[int, ...], free: int) -> bool:
+        used = Counter(chosen)
+        for y in (0, *used):  # 0: a size that could be added, so that the filling isn't maximal
+            for x in rising[bisect_right(rising, y) : bisect_right(rising, y + free)]:
+                if counts[x] > used[x]:
+                    return False
+        return True
+
+    lowest, highest = -1, 0
+    while lowest < min(waste, room):
+        highest = min(highest, waste)
+        # where to go on, room, what is chosen; and the next number of that size to be tried: many come first
+        stack: list[tuple[int, int, tuple[int, ...], int]] = [(0, room, (), -1)]
+        while stack:
+            if steps[0] <= 0:
+                return
+            steps[0] -= 1
+            i, free, chosen, n = stack.pop()
+            if n < 0:
+                i = max(i, len(sizes) - bisect_right(rising, free))  # sizes that still fit
+                if free - min(free, tails[i]) > highest:
+                    continue
+                if i == len(sizes) or free == 0:
+                    if free > lowest and undominated(chosen, free):
+                        yield chosen
+                    continue
+                n = min(counts[sizes[i]], free // sizes[i])
+            if n > 0:
+                stack.append((i, free, chosen, n - 1))
+            stack.append((i + 1, free - n * sizes[i], chosen + (sizes[i],) * n, -1))
+        lowest, highest = highest, 2 * highest + 1
+
+
+def fillings(left: Counter, room: int) -> list[tuple[int, ...]]:
+    """The undominated ways to fill ``room`` that ``FILL_STEPS`` find, the fullest bands first."""
+    return list(each_filling(left, room, room, [FILL_STEPS]))
 
 
 def bin_completion(sizes: list[int], capacity: int) -> list[list[int]]:
     """Branch and bound over containers: each is built around the largest size left.
 
     A branch is cut as soon as its wasted room exceeds what a packing with one container less than the
-    incumbent could waste. The incumbent starts as best-fit and is returned if ``SEARCH_STEPS`` find no better.
+    incumbent could waste. The incumbent starts as best-fit and is returned if ``SEARCH_STEPS`` for each of its
+    containers, spent on fillings and on setting out from them, find no better.
     """
     incumbent = best_fit(sizes, capacity)
-    lower, total, steps = lower_bound(sizes, capacity), sum(sizes), SEARCH_STEPS
-    while len(incumbent) > lower and steps:
+    lower, total, steps = lower_bound(sizes, capacity), sum(sizes), [SEARCH_STEPS * len(incumbent)]
+    while len(incumbent) > lower and steps[0] > 0:
         allowed = (len(incumbent) - 1) * capacity - total
         left, done, waste = Counter(sizes), [], 0
-        stack: list[list[tuple[int, ...]]] = []
+        stack: list[tuple[int, Iterator[tuple[int, ...]]]] = []
         better = None
-        while steps:
-            steps -= 1
+        while steps[0] > 0:
             largest = max((s for s, n in left.items() if n), default=0)
             if not largest:
                 better = [list(b) for b in done]
                 break
-            left[largest] -= 1
-            ways = fillings(left, capacity - largest)
-            left[largest] += 1
-            stack.append([(largest, *w) for w in reversed(ways)])
+            others = left.copy()
+            others[largest] -= 1
+            stack.append((largest, each_filling(others, capacity - largest, allowed - waste, steps)))
+            steps[0] -= len(left)
             while stack:
-                if stack[-1]:
-                    chosen = stack[-1].pop()
-                    if waste + capacity - sum(chosen) <= allowed:
-                        break
-                    stack[-1].clear()  # the ways are in order of waste: the others waste more
-                else:
-                    stack.pop()
-                    if not done:
-                        break
+                way = next(stack[-1][1], None)
+                if way is not None:
+                    break
+                stack.pop()
+                if done:
                     last = done.pop()
                     waste -= capacity - sum(last)
                     left.update(last)
             else:
                 break
-            if not stack:
-                break
+            chosen = (stack[-1][0], *way)
             left.subtract(chosen)
+            left += Counter()  # without sizes that are used up
             done.append(chosen)
             waste += capacity - sum(chosen)
         if better is None:

@@ -72,3 +72,15 @@ def test_empty_table(spark):
 def test_all_empty_items_share_a_container(spark):
     got = fill_containers(spark.range(5).select("id", F.lit(0).alias("n")), "id", "n")
     assert got.count() == 5 and got.select("container_id").distinct().count() == 1
+
+
+def test_alternatives_to_a_perfect_filling():
+    sizes = [46, 45, 41, 39, 34, 30, 24, 21, 20]
+    bins = bin_completion(sizes, 100)
+    assert Counter(s for b in bins for s in b) == Counter(sizes) and all(sum(b) <= 100 for b in bins)
+    assert len(best_fit(sizes, 100)) == 4 and len(bins) == 3
+
+
+def test_fillings_of_equal_totals_come():
+    ways = fillings(Counter({45: 1, 41: 1, 39: 1, 34: 1, 30: 1, 24: 1, 21: 1, 20: 1}), 54)
+    assert {(34, 20), (30, 24)} <= set(ways)
