@@ -36,6 +36,15 @@ def p1_found(spark, root):
     return snapshots.snapshot_changes(scans, rows)
 
 
+@query
+def p1_values(spark, root):
+    """The values before and after of every changed fingerprint."""
+    scans = table(spark, root, "scans", "id", "repository_id", "status", "completed_at")
+    rows = table(spark, root, "findings", "scan_id", "fingerprint", "severity", "confidence", "line_number", "patch_available")
+    fields = [F.col(f"{side}.{v}").alias(f"{side}_{v}") for side in ("old", "new") for v in ("severity", "confidence", "line_number", "patch_available")]
+    return snapshots.changed_values(scans, rows).select("repository_id", "scan_id", "fingerprint", *fields)
+
+
 # filters (F1-F4), ownership (F5, J1-J3), parents (J13), sorts
 
 

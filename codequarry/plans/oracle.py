@@ -153,6 +153,17 @@ SQL: dict[str, str] = {
                CASE WHEN old.fp IS NULL THEN 'added' WHEN new.fp IS NULL THEN 'removed' ELSE 'changed' END AS change_type
         FROM new FULL JOIN old ON new.scan_id = old.scan_id AND new.fp = old.fp
         WHERE old.fp IS NULL OR new.fp IS NULL OR (new.s, new.c, new.l, new.p) IS DISTINCT FROM (old.s, old.c, old.l, old.p)""",
+    "p1_values": """
+        WITH snap AS (
+          SELECT id, max(repository_id) AS repo, max(completed_at) AS t FROM scans
+          WHERE status = 'completed' AND completed_at IS NOT NULL AND repository_id IS NOT NULL GROUP BY id),
+        pair AS (SELECT id AS scan_id, repo, lag(id) OVER (PARTITION BY repo ORDER BY t, id) AS prev_id FROM snap),
+        f AS (SELECT DISTINCT scan_id AS sid, lower(trim(fingerprint)) AS fp, lower(trim(severity)) AS s, confidence AS c, line_number AS l,
+                     patch_available AS p FROM findings WHERE trim(fingerprint) <> '')
+        SELECT repo AS repository_id, scan_id, n.fp AS fingerprint, o.s AS old_severity, o.c AS old_confidence, o.l AS old_line_number,
+               o.p AS old_patch_available, n.s AS new_severity, n.c AS new_confidence, n.l AS new_line_number, n.p AS new_patch_available
+        FROM pair JOIN f n ON n.sid = scan_id JOIN f o ON o.sid = prev_id AND o.fp = n.fp
+        WHERE (n.s, n.c, n.l, n.p) IS DISTINCT FROM (o.s, o.c, o.l, o.p)""",
     "filter_equal": "SELECT DISTINCT id FROM findings WHERE severity = 'high' AND category = 'crypto' AND analyzer = 'regex'",
     "filter_security_group": f"SELECT DISTINCT id FROM findings WHERE category IN {_in(SECURITY_CATEGORIES)}",
     "filter_quality_group": f"SELECT DISTINCT id FROM findings WHERE category IS NULL OR category NOT IN {_in(SECURITY_CATEGORIES)}",

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str = "codequarry") -> SparkSession:
@@ -26,12 +27,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, name: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
+    Only a local session (tests, a laptop) that names none gets a temporary folder; elsewhere that is an error,
+    as one machine's folder is none that the executors share.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    where = where or sc.getCheckpointDir()
+    if not where and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not where:
-        where = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="codequarry-")
+        where = tempfile.mkdtemp(prefix="codequarry-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder, read again: cuts the lineage, and later reads prune its columns."""
+    where = f"{shared_dir(rows.sparkSession).rstrip('/')}/table-{uuid4().hex}"
+    rows.write.parquet(where)
+    return rows.sparkSession.read.schema(rows.schema).parquet(where)

@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from codequarry.operators.snapshots import SnapshotIndex, snapshot_changes, snapshot_sequence
+from codequarry.operators.snapshots import SnapshotIndex, changed_values, probe_buckets, snapshot_changes, snapshot_sequence
 
 SCANS = "id string, repository_id string, status string, completed_at timestamp, extra string"
 FINDINGS = "id string, scan_id string, fingerprint string, severity string, confidence int, line_number int, patch_available boolean, hash string, key string"
@@ -79,3 +79,42 @@ def test_index_keeps_the_last_snapshot(spark, tmp_path):
     assert second == {"a": ("changed", 1, None), "b": ("removed", 2, None), "c": ("added", None, 3)}
     third = {r.k: r.change_type for r in index.apply(frame([("a", None, "1", ""), ("c", 3, "", "")])).collect()}
     assert third == {}
+
+
+def test_bucket_is_probed_across_batches():
+    """One row a batch: the index and the snapshot being read outlive the batch."""
+    import pyarrow as pa
+
+    names = ["owner", "snapshot_id", "previous_id", "next_id", "key", "hash"]
+    entries = [("r", "s1", None, "s2", "a", 1), ("r", "s1", None, "s2", "b", 1), ("r", "s2", "s1", "s3", "b", 2), ("r", "s4", "s3", None, "b", 2)]
+    entries += [("t", "x1", None, "x2", "a", 1)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, e))]) for e in entries]
+    got = {(r["scan_id"], r["fingerprint"], r["change_type"]) for b in probe_buckets(batches) for r in b.to_pylist()}
+    assert got == {("s2", "a", "removed"), ("s2", "b", "changed"), ("s3", "b", "removed"), ("s4", "b", "added"), ("x2", "a", "removed")}
+    assert [b.num_rows for b in probe_buckets(iter([]))] == []
+
+
+def test_values_of_changed_keys(spark):
+    t = datetime(2024, 1, 1)
+    scans = [(f"s{i}", "r", "completed", t + timedelta(days=i), None) for i in range(3)]
+    findings = [("1", "s0", "a", "low", None, 5, None, "", ""), ("2", "s1", "A ", "HIGH", 5, None, None, "", ""), ("3", "s1", "b", "low", 1, 1, None, "", "")]
+    got = changed_values(spark.createDataFrame(scans, SCANS), spark.createDataFrame(findings, FINDINGS), buckets=3).collect()
+    assert [(r.scan_id, r.fingerprint, tuple(r.old), tuple(r.new)) for r in got] == [("s1", "a", ("low", None, 5, None), ("high", 5, None, None))]
+
+
+def test_index_outlives_its_writer_and_is_not_shuffled(spark, tmp_path):
+    root = str(tmp_path / "index")
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int, extra string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for i in range(4):
+            got = SnapshotIndex(spark, root, ["k"], ["v"], buckets=4).apply(frame([("a", i, ""), (f"n{i}", 1, "")]))
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r.k, r.change_type) for r in got.collect()} == {("a", "changed"), ("n3", "added"), ("n2", "removed")}
+    index = SnapshotIndex(spark, root, ["k"], ["v"], buckets=4)
+    assert len(index._generations()) == 2 and len([p for p in (tmp_path / "index").iterdir() if p.name != "pointer"]) == 2
+    (tmp_path / "index" / "000000000009-half-written").mkdir()  # a run that was lost before the pointer
+    assert index.apply(frame([("a", 3, ""), ("n3", 1, "")])).count() == 0
+    assert {(r.k, r.change_type) for r in index.apply(frame([("a", 3, "")])).collect()} == {("n3", "removed")}
