@@ -244,16 +244,16 @@ class SnapshotIndex:
         stored = self._table(generation, "store")
         self._write(stored.drop("_values"), generation, "hashes")
         fresh = self._table(generation, "hashes")
+        new = stored.select(*self.keys, F.col("_values").alias("new"))
         if known:
             held = self._table(known[-1], "hashes").withColumnRenamed("_hash", "_held")
-            kind = F.when(F.col("_held").isNull(), "added").when(F.col("_hash").isNull(), "removed").when(F.col("_hash") != F.col("_held"), "changed")
-            changes = fresh.join(held, self.keys, "full").select(*self.keys, kind.alias("change_type")).where("change_type is not null")
-            before = self._table(known[-1], "store")
+            old = self._table(known[-1], "store").select(*self.keys, F.col("_values").alias("old"))
+            kind = F.when(F.col("_held").isNull(), "added").when(F.col("_hash") != F.col("_held"), "changed")
+            present = fresh.join(held, self.keys, "left").select(*self.keys, kind.alias("change_type")).where("change_type is not null")
+            gone = held.join(fresh, self.keys, "left_anti").select(*self.keys, F.lit("removed").alias("change_type"))
+            result = present.join(old, self.keys, "left").join(new, self.keys).unionByName(gone.join(old, self.keys), allowMissingColumns=True)
         else:
-            changes, before = fresh.where("false").select(*self.keys, F.lit("").alias("change_type")), stored
-        result = changes.join(before.select(*self.keys, F.col("_values").alias("old")), self.keys, "left").join(
-            stored.select(*self.keys, F.col("_values").alias("new")), self.keys, "left"
-        )
+            result = new.where("false").select(*self.keys, F.lit("").alias("change_type"), F.col("new").alias("old"), "new")
         self._files.mkdirs(self._path("pointer"))
         self._files.createNewFile(self._path(f"pointer/{generation}"))
         for old in known[:-1]:
