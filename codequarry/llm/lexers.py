@@ -8,7 +8,12 @@ from codequarry.llm.grammars import grammar
 
 BAD = "BAD"
 
-NUMBER = r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d[\d_]*)?)"
+# digits with underscores between them; a leading zero makes an octal number unless a point or an exponent follows
+_D = r"\d(?:_*\d)*"
+NUMBER = (
+    r"(?:0[xX]_?(?:[0-9a-fA-F](?:_*[0-9a-fA-F])*)?\.?(?:[0-9a-fA-F](?:_*[0-9a-fA-F])*)?(?<![xX_])(?:[pP][+-]?\d+)?|0[bB]_?[01](?:_*[01])*|0[oO]_?[0-7](?:_*[0-7])*"
+    rf"|(?:{_D})?\.{_D}(?:[eE][+-]?{_D})?|{_D}(?:\.(?:[eE][+-]?{_D})?|[eE][+-]?{_D})|0(?:_*[0-7])*(?=[lLi]?(?![\w.$]))|[1-9](?:_*\d)*|{_D}(?=[fFdDi]))"
+)
 DOUBLE, SINGLE = r'"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*"', r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'"
 SKIP = r"(?P<skip>(?:[ \t\f\v﻿\xa0  \r\n]|//[^\n\r]*|/\*[\s\S]*?\*/)*)"
 
@@ -63,15 +68,32 @@ TOML_TOKEN = re.compile(
 )
 
 
+TOML_KEY = re.compile(r"[ \t]*(?P<BARE>[A-Za-z0-9_-]+)")
+
+
 def lex_toml(text: str) -> Lexed:
-    out = Lexed()
-    for m in TOML_TOKEN.finditer(text):
-        kind = m.lastgroup
+    """Where a key stands, what looks like a number, date or truth value is a bare key."""
+    out, pos, key, open_marks = Lexed(), 0, True, []
+    while True:
+        m = key and TOML_KEY.match(text, pos) or TOML_TOKEN.match(text, pos)
+        kind, pos = m.lastgroup, m.end()
         if kind == "end":
-            break
-        out.kinds.append(m[kind] if kind == "mark" else BAD if kind == "bad" else kind)
+            return out
         out.at.append(m.start(kind))
-    return out
+        if kind == "mark":
+            kind = m["mark"]
+            if kind == "=":
+                key = False
+            elif kind in "[{" and not (key and kind == "["):
+                open_marks.append(kind)
+                key = kind == "{"
+            elif kind in "]}" and not key or kind == "}":
+                key = bool(open_marks and open_marks.pop() is None)
+            elif kind == "," and open_marks and open_marks[-1] == "{":
+                key = True
+        elif kind == "NL" and not open_marks:
+            key = True
+        out.kinds.append(BAD if kind == "bad" else kind)
 
 
 PY_MARKS, PY_KINDS = _marks("python", "/ // % << >> & ^ == != < > <= >=", "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=")
@@ -142,6 +164,8 @@ def _fstring(text: str, pos: int, quote: str, raw: bool, out: Lexed) -> int:
                 kind, pos = "CONV", c.end()
             elif kind in ("bad", "end") or kind == "NUM" and ZERO_LED.match(m["NUM"]) or kind == "STR" and _broken_python(m["STR"]):
                 return put(BAD, start)
+            elif kind == "STR" and BYTES.match(m["STR"]):
+                kind = "BYTES"
             put(kind, start)
 
     def literal(pos: int, spec: bool) -> int:
@@ -177,6 +201,8 @@ def _fstring(text: str, pos: int, quote: str, raw: bool, out: Lexed) -> int:
 
     return literal(begin, False)
 
+
+BYTES = re.compile(r"[rR]?[bB]")
 ZERO_LED = re.compile(r"0[\d_]*[1-9][\d_]*\Z")
 INDENT = re.compile(r"[ \t\f]*")
 
@@ -242,6 +268,8 @@ def lex_python(text: str) -> Lexed:
             kinds.append(BAD)
             at.append(start)
             return out
+        elif kind == "STR" and BYTES.match(m["STR"]):
+            kind = "BYTES"
         kinds.append(kind)
         at.append(start)
     if kinds and kinds[-1] not in ("NL", "DEDENT") and not depth:
@@ -256,7 +284,7 @@ def lex_python(text: str) -> Lexed:
 GO_MARKS, GO_KINDS = _marks("go", "+ - / % & ^ << >> &^ == != < > <= >= && ||", "+= -= *= /= %= &= |= ^= <<= >>= &^=")
 GO_TOKEN = re.compile(
     rf"{SKIP}(?:(?P<STR>{DOUBLE}|`[^`]*`)|(?P<CHAR>'(?:[^'\\\n]|\\(?:[abfnrtv\\'\"]|x[0-9a-fA-F]{{2}}|[0-7]{{3}}|u[0-9a-fA-F]{{4}}|U[0-9a-fA-F]{{8}}))')"
-    rf"|(?P<NUM>(?:0[xX][0-9a-fA-F_.]+(?:[pP][+-]?\d+)?|{NUMBER})i?(?!\w))|(?P<ID>[^\W\d]\w*)|(?P<mark>{GO_MARKS})|(?P<end>\Z)|(?P<bad>[\s\S]))"
+    rf"|(?P<NUM>{NUMBER}i?(?!\w))|(?P<ID>[^\W\d]\w*)|(?P<mark>{GO_MARKS})|(?P<end>\Z)|(?P<bad>[\s\S]))"
 )
 GO_WORDS = _words("go")
 GO_ENDS = {"ID", "NUM", "STR", "CHAR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"}
@@ -327,6 +355,7 @@ def lex_java(text: str) -> Lexed:
 JS_OPERATORS, JS_AUGMENTED = "+ - / % ** ^ << == != === !== <= >= && || ?? ~", "+= -= *= /= %= **= &= |= ^= <<= &&= ||= ??="
 JS_REGEX = r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[A-Za-z]*"
 JS_NUMBER = r"(?:0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:0|[1-9][\d_]*)n|(?:(?:0|[1-9][\d_]*)(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)(?![\w$])"
+JS_ESCAPED = r"\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})"
 # after these a slash divides
 JS_VALUES = {"ID", "NUM", "STR", "REGEX", "TPL", "TAIL", "PRIV", ")", "]", "this", "super", "null", "true", "false", "++", "--"}
 JS_SOFT_VALUES = {"of", "get", "set", "async", "from", "as", "type"}
@@ -338,7 +367,7 @@ class _Script:
     def __init__(self, language: str):
         marks, self.kinds = _marks(language, JS_OPERATORS, JS_AUGMENTED)
         self.words = _words(language)
-        head = rf"{SKIP}(?:(?P<STR>{DOUBLE}|{SINGLE})|(?P<NUM>{JS_NUMBER})|(?P<ID>[^\W\d][\w$]*|\$[\w$]*)|(?P<PRIV>\#[^\W\d][\w$]*)"
+        head = rf"{SKIP}(?:(?P<STR>{DOUBLE}|{SINGLE})|(?P<NUM>{JS_NUMBER})|(?P<ID>(?:[^\W\d]|\$|{JS_ESCAPED})(?:[\w$‌‍]|{JS_ESCAPED})*)|(?P<PRIV>\#[^\W\d][\w$]*)"
         piece = r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*"
         tail = rf"|(?P<TPL>`{piece}`)|(?P<HEAD>`{piece}\$\{{)|(?P<mark>{marks})|(?P<end>\Z)|(?P<bad>[\s\S]))"
         self.dividing = re.compile(head + tail)
@@ -347,7 +376,8 @@ class _Script:
 
 
 SCRIPTS = {language: _Script(language) for language in ("javascript", "typescript")}
-RESTRICTED = {"return", "break", "continue", "yield"}
+RESTRICTED = {"return", "break", "continue", "yield", "throw"}
+CONDITIONS = {"if", "while", "for", "with"}
 
 
 def lex_script(text: str, language: str) -> Lexed:
@@ -355,14 +385,14 @@ def lex_script(text: str, language: str) -> Lexed:
     s, out = SCRIPTS[language], Lexed()
     kinds, at, breaks = out.kinds, out.at, set()
     out.breaks = breaks
-    last, pos, braces = "", 0, []
+    last, pos, braces, parentheses = "", 0, [], []
     if text.startswith("#!"):
         pos = (text + "\n").index("\n")
     while True:
         pattern = s.dividing if last in JS_VALUES or last in JS_SOFT_VALUES else s.starting
         m = pattern.match(text, pos)
         kind = m.lastgroup
-        start, pos = m.start(kind), m.end()
+        start, pos, condition = m.start(kind), m.end(), False
         newline = "\n" in m["skip"] or "\r" in m["skip"]
         if kind == "end":
             break
@@ -371,6 +401,10 @@ def lex_script(text: str, language: str) -> Lexed:
             kind = word if word in s.words else kind
         elif kind == "mark":
             kind = s.kinds[m["mark"]]
+            if kind == "(":
+                parentheses.append(last in CONDITIONS or last == "await" and kinds[-2:-1] == ["for"])
+            elif kind == ")" and parentheses and parentheses.pop():
+                condition = True
             if kind == "{":
                 braces.append("{")
             elif kind == "}":
@@ -386,9 +420,9 @@ def lex_script(text: str, language: str) -> Lexed:
         if newline and (last in RESTRICTED or kind in ("++", "--") and last in JS_VALUES) and kind not in (";", "}"):
             kinds.append(";")
             at.append(start)
-        if newline or kind == "}" or last == "}":
+        if newline or kind == "}":
             breaks.add(len(kinds))
-        last = kind
+        last = "condition" if condition else kind
         kinds.append(kind)
         at.append(start)
         if kind == BAD:
