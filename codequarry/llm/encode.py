@@ -1,9 +1,9 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary, inside the JVM.
 
-A text is cut into words by the vocabulary's pattern. Words that are a token themselves get their id from a
+A text is cut into words by the vocabulary's pattern, once. Words that are a token themselves get their id from a
 constant rank map in place. Of all others the *distinct* ones of the corpus are encoded once each: a fold over
-the word's bytes that merges, at every step, all occurrences of the adjacent pair with the lowest rank. Bytes
-are written as the characters U+0000 to U+00FF, so that Spark's string functions can work on them.
+the array of the word's bytes that merges, at every step, the first adjacent pair of the lowest rank. Bytes are
+written as the characters U+0000 to U+00FF, so that Spark's string functions can work on them.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ import base64
 import json
 import zlib
 from functools import cache
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.session import shared_dir
+from codequarry.session import written
 
 #: Folder of the vocabulary files and the vocabulary used where none is named.
 VOCABULARIES = "/opt/tokenizers"
@@ -32,7 +34,8 @@ BUCKETS = 16384
 #: A position times this plus an id is one long.
 PLACE = 2**31
 
-OPEN, CLOSE, NONE = "", "", 2**31 - 1
+#: No rank; bytes of a word from which on its merges are done on a heap, in time that grows with its length times its logarithm.
+NONE, LONG_WORD = 2**31 - 1, 256
 
 
 @cache
@@ -77,38 +80,76 @@ def rank_of(ranks: Column, token: Column) -> Column:
 
 
 def merged(ranks: Column, word: Column) -> Column:
-    """The ids of a word of at least two bytes, by folding ranked merges over its bytes."""
+    """The ids of a word of at least two bytes, by folding ranked merges over its bytes.
 
-    def parts(state: Column) -> Column:
-        return F.split(F.substring(state, F.lit(2), F.length(state) - 2), CLOSE + OPEN)
+    The fold's state is an array of pieces, each with the rank of it and the next one together; a step merges the
+    first of the lowest rank and looks up the two ranks that this changes.
+    """
 
-    def best(pieces: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-            F.slice(pieces, F.lit(2), F.size(pieces) - 1),
-            lambda a, b: F.struct(F.coalesce(rank_of(ranks, F.concat(a, b)), F.lit(NONE)).alias("r"), a.alias("a"), b.alias("b")),
-        )
-        return F.array_min(pairs)
+    def rank(token: Column) -> Column:
+        return F.coalesce(rank_of(ranks, token), F.lit(NONE))
+
+    def piece(p: Column, r: Column) -> Column:
+        return F.struct(p.alias("p"), r.alias("r"))
+
+    def merge(state: Column, at: Column) -> Column:
+        def around(x: Column) -> Column:
+            joined = F.concat(x["a"], x["b"])
+            before = F.when(x["before"].isNotNull(), F.array(piece(x["before"], rank(F.concat(x["before"], joined))))).otherwise(F.slice(state, 1, 0))
+            here = piece(joined, F.when(x["after"].isNull(), F.lit(NONE)).otherwise(rank(F.concat(joined, x["after"]))))
+            return F.concat(F.slice(state, F.lit(1), F.greatest(at - 1, F.lit(0))), before, F.array(here), F.slice(state, at + 3, F.size(state)))
 
-    def merge(state: Column, pair: Column) -> Column:
-        both = F.concat(F.lit(OPEN), pair["a"], F.lit(CLOSE + OPEN), pair["b"], F.lit(CLOSE))
-        one = F.concat(F.lit(OPEN), pair["a"], pair["b"], F.lit(CLOSE))
-        return F.when(F.coalesce(pair["r"], F.lit(NONE)) == NONE, F.struct(state.alias("s"), F.lit(True).alias("done"))).otherwise(
-            F.struct(F.replace(state, both, one).alias("s"), F.lit(False).alias("done"))
+        neighbours = F.struct(
+            F.get(state, at - 1)["p"].alias("before"), F.get(state, at)["p"].alias("a"), F.get(state, at + 1)["p"].alias("b"), F.get(state, at + 2)["p"].alias("after")
         )
+        return _let(neighbours, around)
 
-    def step(acc: Column, _: Column) -> Column:
-        pair = _let(parts(acc["s"]), best)
-        return F.when(acc["done"], acc).otherwise(_let(pair, lambda p: merge(acc["s"], p)))
+    def step(state: Column, _: Column) -> Column:
+        lowest = F.array_min(F.transform(state, lambda x, i: F.struct(x["r"].alias("r"), i.alias("i"))))
+        return _let(lowest, lambda low: F.when(low["r"] == NONE, state).otherwise(merge(state, low["i"])))
 
-    start = F.concat(F.lit(OPEN), F.array_join(F.split(word, ""), CLOSE + OPEN), F.lit(CLOSE))
-    state = F.aggregate(
-        F.sequence(F.lit(2), F.greatest(F.length(word), F.lit(2))),
-        F.struct(start.alias("s"), F.lit(False).alias("done")),
-        step,
-        lambda acc: acc["s"],
+    start = F.transform(
+        F.sequence(F.lit(1), F.length(word)),
+        lambda i: piece(F.substring(word, i, F.lit(1)), F.when(i == F.length(word), F.lit(NONE)).otherwise(rank(F.substring(word, i, F.lit(2))))),
     )
-    return F.transform(parts(state), lambda p: rank_of(ranks, p))
+    return F.transform(F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step), lambda x: rank_of(ranks, x["p"]))
+
+
+def merged_on_heap(word: str, ranks: dict[str, int]) -> list[int]:
+    """The same merges for one long word: linked pieces, and a heap of their pairs by rank and place."""
+    pieces: list[str | None] = list(word)
+    following, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+    heap = [(r, i, 2) for i in range(len(word) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, length = heappop(heap)
+        j = following[i]
+        if pieces[i] is None or j >= len(word) or len(pieces[i]) + len(pieces[j]) != length:
+            continue  # one of the two has been merged since
+        pieces[i] += pieces[j]
+        pieces[j] = None
+        following[i] = k = following[j]
+        if k < len(word):
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b < len(word) and (r := ranks.get(pieces[a] + pieces[b])) is not None:
+                heappush(heap, (r, a, len(pieces[a]) + len(pieces[b])))
+    return [ranks[p] for p in pieces if p is not None]
+
+
+def _encoded_words(rare: DataFrame, ranks: Column, name: str, folder: str) -> DataFrame:
+    """``w, ids`` of the distinct words ``w``."""
+    distinct = rare.select("w").distinct().repartition(tasks(rare.sparkSession), "w")
+    folded = distinct.where(F.length("w") < LONG_WORD).select("w", F.struct(ranks.alias("ranks"), "w").alias("x")).select(
+        "w", _let(F.col("x"), lambda x: merged(x["ranks"], x["w"])).alias("ids")
+    )
+
+    @F.pandas_udf("array<int>")
+    def on_heap(words: pd.Series) -> pd.Series:
+        known = vocabulary(name, folder)
+        return words.map(lambda w: merged_on_heap(w, known))
+
+    return folded.unionByName(distinct.where(F.length("w") >= LONG_WORD).select("w", on_heap("w").alias("ids")))
 
 
 def tasks(spark: SparkSession) -> int:
@@ -121,50 +162,70 @@ def byte_string(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
-    """``key, ids``: every text as its list of token ids, without special tokens.
-
-    Null and empty texts have the empty list. Keys are taken as unique; null keys are allowed. Words of any
-    length are encoded whole. The words that aren't tokens are written to the shared folder with key and position,
-    as their distinct ones are encoded and then joined back; the text itself is never shuffled.
-    """
-    spark = documents.sparkSession
-    ranks = rank_table(spark, name, folder)
+def _cut(documents: DataFrame, key: str, text: str, ranks: Column) -> DataFrame:
+    """``k, words`` of every text: each word's place, its bytes, and its id if it is a token."""
     cut = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
-    words = documents.select(F.col(key).alias("k"), F.struct(ranks.alias("ranks"), cut.alias("cut")).alias("x")).select(
+    return documents.select(F.col(key).alias("k"), F.struct(ranks.alias("ranks"), cut.alias("cut")).alias("x")).select(
         "k",
         _let(
             F.col("x"),
             lambda x: F.transform(
                 x["cut"],
                 lambda w, i: _let(
-                    byte_string(w), lambda b: F.struct(i.alias("at"), rank_of(x["ranks"], b).alias("id"), b.alias("w"))
+                    byte_string(w), lambda b: _let(rank_of(x["ranks"], b), lambda r: F.struct(i.alias("at"), r.alias("id"), F.when(r.isNull(), b).alias("w")))
                 ),
             ),
         ).alias("words"),
     )
-    # a token in place is one long, position and id: the one thing of every text's size that is shuffled
-    whole = words.select(
-        "k",
-        F.transform(F.filter("words", lambda w: w["id"].isNotNull()), lambda w: w["at"].cast("long") * PLACE + w["id"]).alias("packed"),
-        F.lit(None).cast("array<struct<at:int,ids:array<int>>>").alias("got"),
-    )
-    shared_dir(spark)
-    rare = words.select("k", F.explode(F.filter("words", lambda w: w["id"].isNull())).alias("x")).select("k", "x.at", "x.w").checkpoint()
-    distinct = rare.select("w").distinct().repartition(tasks(spark), "w")
-    encoded = distinct.select("w", F.struct(ranks.alias("ranks"), "w").alias("x")).select(
-        "w", _let(F.col("x"), lambda x: merged(x["ranks"], x["w"])).alias("ids")
+
+
+def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
+    """``key, ids``: every text as its list of token ids, without special tokens.
+
+    Null and empty texts have the empty list. Keys are taken as unique; null keys are allowed. Words of any
+    length are encoded whole. The cut texts are written to the shared folder once: tokens in place as one long
+    each, place and id, and the words that aren't tokens, whose distinct ones are encoded and then joined back.
+    """
+    ranks = rank_table(documents.sparkSession, name, folder)
+    cut = written(
+        _cut(documents, key, text, ranks).select(
+            "k",
+            F.transform(F.filter("words", lambda w: w["id"].isNotNull()), lambda w: w["at"].cast("long") * PLACE + w["id"]).alias("packed"),
+            F.transform(F.filter("words", lambda w: w["id"].isNull()), lambda w: F.struct(w["at"].alias("at"), w["w"].alias("w"))).alias("rare"),
+        )
     )
-    found = rare.join(encoded, "w").groupBy("k").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
+    rare = cut.select("k", F.explode("rare").alias("x")).select("k", "x.at", "x.w")
+    found = rare.join(_encoded_words(rare, ranks, name, folder), "w").groupBy("k").agg(F.collect_list(F.struct("at", "ids")).alias("got"))
+    whole = cut.select("k", "packed", F.lit(None).cast("array<struct<at:int,ids:array<int>>>").alias("got"))
     looked_up = found.select("k", F.lit(None).cast("array<bigint>").alias("packed"), "got")
     together = whole.unionByName(looked_up).groupBy("k").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("packed", "got")])
     tokens = F.transform(
         "packed", lambda x: F.struct(F.shiftright(x, 31).cast("int").alias("at"), F.array((x % PLACE).cast("int")).alias("ids"))
     )
-    ordered = F.array_sort(F.concat(tokens, "got"))
+    ordered = F.sort_array(F.concat(tokens, "got"))
     return together.select(F.col("k").alias(key), F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
 
 
+def count_tokens(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
+    """``key, tokens``: the length of every text in tokens, 0 for null and empty ones. Keys as for :func:`encode`.
+
+    Tokens in place are counted where they are; only the words that aren't tokens meet their number of ids, and
+    only numbers are shuffled by key.
+    """
+    ranks = rank_table(documents.sparkSession, name, folder)
+    cut = written(
+        _cut(documents, key, text, ranks).select(
+            "k",
+            F.size(F.filter("words", lambda w: w["id"].isNotNull())).cast("long").alias("n"),
+            F.transform(F.filter("words", lambda w: w["id"].isNull()), lambda w: w["w"]).alias("rare"),
+        )
+    )
+    rare = cut.select("k", F.explode("rare").alias("w"))
+    lengths = _encoded_words(rare, ranks, name, folder).select("w", F.size("ids").cast("long").alias("n"))
+    more = rare.join(lengths, "w").select("k", "n")
+    return cut.select("k", "n").unionByName(more).groupBy("k").agg(F.sum("n").alias("tokens")).withColumnRenamed("k", key)
+
+
 def decode(encoded: DataFrame, key: str, ids: str = "ids", name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
     """``key, text``: the binary pieces of the ids, concatenated. The empty list gives the empty text, null gives null.
 

@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with items, with little room left unused.
 
-Items are hashed into blocks of bounded size and every block is packed by bin completion in its own task.
-What a block cannot pack tightly (its last containers) goes on to a further round with fewer blocks, until one
-block holds the rest, so that over the whole corpus only a handful of containers stay partly empty.
+Items are hashed into blocks of bounded size and every block is packed by bin completion in its own task. What a
+block cannot pack tightly goes on to a further round, mixed anew in blocks of the same size. After a fixed number
+of rounds, or one that closes nothing, containers stay as they are: then it is the sizes that leave room.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from codequarry.session import shared_dir
 
-#: Tokens of a container; items packed by one task; room (a fraction of the capacity) from which a container is
-#: opened again in the next round; steps that a listing of fillings may take, and the search over containers for each container of the block.
-CAPACITY, BLOCK, LOOSE, FILL_STEPS, SEARCH_STEPS = 2048, 4096, 1 / 64, 4000, 2000
+#: Tokens of a container; items packed by one task, at every size of the corpus; room (a fraction of the capacity) from
+#: which a container is opened again in the next round; rounds.
+CAPACITY, BLOCK, LOOSE, ROUNDS = 2048, 4096, 1 / 64, 4
+#: Steps of one listing of fillings, and listings for each container of the block: what branch and bound spends, not what
+#: it packs. Beyond them the incumbent stands; the README has how often that is so, and the gap to the lower bound.
+FILL_STEPS, SEARCH_STEPS = 1000, 2
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -39,8 +43,21 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def lower_bound(sizes: list[int], capacity: int) -> int:
-    """Containers that any packing needs: by total size, and by items of more than half a container."""
-    return max(-(-sum(sizes) // capacity), sum(1 for s in sizes if 2 * s > capacity))
+    """Containers that any packing needs (Martello and Toth's second bound).
+
+    For every size k: items over half a container lie alone among such, and those of k or more that are at most
+    half fit only beside the big ones that leave k or more.
+    """
+    rising = sorted(sizes)
+    sums = list(accumulate(rising, initial=0))
+    half, n = bisect_right(rising, capacity // 2), len(rising)
+    best = max(-(-sums[n] // capacity), n - half)
+    for i in range(half):
+        if i == 0 or rising[i] != rising[i - 1]:
+            beside = bisect_right(rising, capacity - rising[i])  # the big ones before leave room for this size
+            room = max(beside - half, 0) * capacity - (sums[max(beside, half)] - sums[half])
+            best = max(best, n - half - (-max(sums[half] - sums[i] - room, 0) // capacity))
+    return best
 
 
 def each_filling(left: Counter, room: int, waste: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
@@ -94,29 +111,62 @@ def fillings(left: Counter, room: int) -> list[tuple[int, ...]]:
     return list(each_filling(left, room, room, [FILL_STEPS]))
 
 
+def descent(sizes: list[int], capacity: int) -> list[list[int]]:
+    """The first descent of the search, nothing cut off: around each largest size the fullest filling found."""
+    left, bins = Counter(sizes), []
+    for largest in sorted(left, reverse=True):
+        while left[largest] > 0:
+            left[largest] -= 1
+            chosen = fullest(left, capacity - largest)
+            left.subtract(chosen)
+            bins.append([largest, *chosen])
+    return bins
+
+
+def fullest(left: Counter, room: int) -> tuple[int, ...]:
+    """The fullest filling of ``room`` that ``FILL_STEPS`` find, larger sizes first."""
+    sizes = sorted((s for s, n in left.items() if 0 < s <= room and n > 0), reverse=True)
+    tails = list(accumulate((s * left[s] for s in reversed(sizes)), initial=0))[::-1]
+    negative, best, way = [-s for s in sizes], -1, ()
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    for _ in range(FILL_STEPS):
+        if not stack or best == room:
+            break
+        i, free, chosen = stack.pop()
+        i = max(i, bisect_left(negative, -free))  # sizes that still fit
+        if room - free > best:
+            best, way = room - free, chosen
+        if i < len(sizes) and room - free + min(free, tails[i]) > best:
+            for n in range(min(left[sizes[i]], free // sizes[i]) + 1):  # last in, first out: many come first
+                stack.append((i + 1, free - n * sizes[i], chosen + (sizes[i],) * n))
+    return way
+
+
 def bin_completion(sizes: list[int], capacity: int) -> list[list[int]]:
     """Branch and bound over containers: each is built around the largest size left.
 
     A branch is cut as soon as its wasted room exceeds what a packing with one container less than the
-    incumbent could waste. The incumbent starts as best-fit and is returned if ``SEARCH_STEPS`` for each of its
-    containers, spent on fillings and on setting out from them, find no better.
+    incumbent could waste. The incumbent starts as the better of best-fit and the first descent and is returned if setting out
+    ``SEARCH_STEPS`` times for each of its containers finds no better.
     """
     incumbent = best_fit(sizes, capacity)
-    lower, total, steps = lower_bound(sizes, capacity), sum(sizes), [SEARCH_STEPS * len(incumbent)]
-    while len(incumbent) > lower and steps[0] > 0:
+    if len(incumbent) > lower_bound(sizes, capacity):
+        incumbent = min(incumbent, descent(sizes, capacity), key=len)
+    lower, total, steps = lower_bound(sizes, capacity), sum(sizes), SEARCH_STEPS * len(incumbent)
+    while len(incumbent) > lower and steps > 0:
         allowed = (len(incumbent) - 1) * capacity - total
         left, done, waste = Counter(sizes), [], 0
         stack: list[tuple[int, Iterator[tuple[int, ...]]]] = []
         better = None
-        while steps[0] > 0:
+        while steps > 0:
+            steps -= 1
             largest = max((s for s, n in left.items() if n), default=0)
             if not largest:
                 better = [list(b) for b in done]
                 break
             others = left.copy()
             others[largest] -= 1
-            stack.append((largest, each_filling(others, capacity - largest, allowed - waste, steps)))
-            steps[0] -= len(left)
+            stack.append((largest, each_filling(others, capacity - largest, allowed - waste, [FILL_STEPS])))
             while stack:
                 way = next(stack[-1][1], None)
                 if way is not None:
@@ -159,7 +209,7 @@ def pack_block(block: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return block.assign(bin=where, room=room)
 
 
-def fill_containers(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+def fill_containers(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """``key, piece_no, start, tokens, container_id``: every item in a container, no container over ``capacity``.
 
     Items larger than the capacity are cut into pieces of exactly the capacity, each a container of its own,
@@ -167,8 +217,8 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int = CAPAC
     lie in a container that is there anyway. Keys are taken as unique and without null. An empty table gives no
     rows.
 
-    Only counts go to the driver. Each round is written to the shared folder, so a lost executor costs the
-    blocks it held.
+    Blocks hold about ``block`` items however many there are, and there are at most ``rounds`` rounds. Only counts go
+    to the driver. Each round is written to the shared folder, so a lost executor costs the blocks it held.
     """
     spark = items.sparkSession
     shared_dir(spark)
@@ -180,25 +230,24 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int = CAPAC
     ).select("doc", "piece", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("size"))
     pieces = pieces.checkpoint()
     full = pieces.where(F.col("size") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "doc", "piece"))
-    rest, packed, number = pieces.where(F.col("size") < capacity), [full], 0
+    rest, packed = pieces.where(F.col("size") < capacity), [full]
     left = rest.count()
-    while left:
+    for number in range(rounds):
+        if not left:
+            break
         blocks = -(-left // block)
-        spread = rest.withColumn("block", F.pmod(F.xxhash64("doc", "piece"), F.lit(blocks)))
+        spread = rest.withColumn("block", F.pmod(F.xxhash64("doc", "piece", F.lit(number)), F.lit(blocks)))
         done = (
             spread.groupBy("block")
             .applyInPandas(lambda pdf: pack_block(pdf, capacity), spread.schema.simpleString()[7:-1] + ",bin:long,room:long")
+            .withColumn("loose", F.col("room") > capacity * LOOSE)
             .checkpoint()
         )
-        last = blocks == 1
-        loose = (F.col("room") > capacity * LOOSE) & F.lit(not last)
-        named = F.concat_ws("-", F.lit(f"r{number}"), "block", "bin")
-        packed.append(done.where(~loose).select("doc", "piece", "size", named.alias("container")))
-        rest, number = done.where(loose).select("doc", "piece", "size"), number + 1
-        now = 0 if last else rest.count()
-        if now == left:  # nothing closed: larger blocks next time
-            block *= 2
-        left = now
+        named = done.withColumn("container", F.concat_ws("-", F.lit(f"r{number}"), "block", "bin"))
+        loose = 0 if blocks == 1 or number == rounds - 1 else done.where("loose").count()
+        closed = named if loose in (0, left) else named.where("not loose")
+        packed.append(closed.select("doc", "piece", "size", "container"))
+        rest, left = done.where("loose").select("doc", "piece", "size"), 0 if loose == left else loose
     result = packed[0]
     for p in packed[1:]:
         result = result.unionByName(p)

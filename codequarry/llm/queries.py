@@ -66,7 +66,7 @@ def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_packed(spark: SparkSession, root: str) -> DataFrame:
-    sizes = p6_ids(spark, root).select("doc_id", F.size("ids").alias("tokens"))
+    sizes = encode.count_tokens(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
     return packing.fill_containers(sizes, "doc_id", "tokens")
 
 

@@ -84,3 +84,21 @@ def test_alternatives_to_a_perfect_filling():
 def test_fillings_of_equal_totals_come():
     ways = fillings(Counter({45: 1, 41: 1, 39: 1, 34: 1, 30: 1, 24: 1, 21: 1, 20: 1}), 54)
     assert {(34, 20), (30, 24)} <= set(ways)
+
+
+def test_sizes_that_do_not_pair_stay_in_blocks_of_the_same_size(spark):
+    """Nothing closes: one round, and no task gets more than its block."""
+    rows = spark.range(1200).select("id", F.lit(55).alias("n"))
+    got = fill_containers(rows, "id", "n", capacity=100, block=128).collect()
+    blocks = Counter(x.container_id.rsplit("-", 1)[0] for x in got)
+    assert len({x.container_id for x in got}) == 1200 and len(blocks) == 10 and max(blocks.values()) < 200
+
+
+def test_bounds_and_hard_sizes():
+    r = random.Random(7)
+    assert lower_bound([60, 60, 50, 50, 50], 100) == 4 and lower_bound([], 100) == 0
+    for low, high, gap in ((500, 1300, 1.03), (300, 700, 1.02), (1045, 2007, 1.0)):
+        sizes = [r.randint(low, high) for _ in range(2000)]
+        bins = bin_completion(sizes, 2048)
+        assert Counter(s for b in bins for s in b) == Counter(sizes) and all(sum(b) <= 2048 for b in bins)
+        assert len(bins) <= lower_bound(sizes, 2048) * gap and len(bins) <= len(best_fit(sizes, 2048))
