@@ -1,17 +1,18 @@
 """Credentials embedded in source code, and their redaction.
 
-Places where a credential could stand are found by context: well-known token forms, private key blocks, logins
-in URLs, headers and commands, and values that are given to a name which speaks of a secret. A value then counts
-if it isn't a placeholder or reference. A literal that is given to the name of a password, passphrase, secret or
-key counts whatever it reads like, messages apart; elsewhere (vague names such as ``auth``, commands, lists,
-values without quotes in code) it must not read like language: that is measured as characters per subword under
-a public tokenizer's vocabulary, which is low for random strings and high for words.
+Unnatural strings are told by their characters per subword under a public tokenizer's vocabulary, which is low
+for random strings and high for words. First all runs of a text are measured so. Then context says how natural a
+string may read and still be a credential: a known token form, a header or a path needs an unnatural run;
+the place of a login or command allows a word with digits; the literal of a name that speaks of a password or
+key allows anything but plain long words, messages and placeholders. What is found is blanked out in place.
 """
 
 from __future__ import annotations
 
 import re
-from functools import cache
+from bisect import bisect_left
+from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from codequarry.llm.encode import VOCABULARIES, VOCABULARY
 
-#: A value with fewer characters per subword reads like no language.
-UNNATURAL = 2.6
+#: Characters per subword below which a string counts, by what stands around it: nothing but a form, a header or a vague
+#: name; the same for letters with digits; the place of a password, or the literal of an explicit name.
+UNNATURAL, MIXED, PLACED = 2.6, 4.0, 9.0
 #: Values from this length on count.
 SHORTEST = 4
 
@@ -28,7 +30,7 @@ SHORTEST = 4
 FORMS = (
     r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_-]{20,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}"
     r"|sk-(?:proj-|ant-)?[A-Za-z0-9_-]{32,}|npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{40,}|xox[abeoprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{35}|ya29\.[A-Za-z0-9_-]{30,}"
-    r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{40,}"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}|SG\.[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{16,}|hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{40,}"
 )
 SECRET = (
     r"pass(?:word|wd|phrase|code)?|passwort|kennwort|contrase(?:na|ña)|mot[_-]?de[_-]?passe|senha|pwd|pw|secret(?:[_-]?access)?|token|credentials?|api[_-]?key"
@@ -66,31 +68,37 @@ REFERENCE = re.compile(
     r"(?:os|process|System|config|settings|env|vault|secrets?|var|local|data|self|this|request|req|params|args|ctx|module|each|inputs)\.[\w.\[\]\"'()]+|[A-Za-z_][\w.:]*\(.*|[\w.]+\[[^\]]*\].*|op://\S+|vault:\S+|arn:\S+"
 )
 
-NAME = rf"(?<![A-Za-z0-9])[\w.\-/:]*?(?:{SECRET})"
-_AFTER = r"(?![A-Za-z0-9])"
-QUOTED = r"(?:\"(?P<{0}d>[^\"\n]*)\"|'(?P<{0}s>[^'\n]*)'|`(?P<{0}b>[^`\n]*)`)"
+QUOTED = r"(?:\"(?P<{0}d>[^\"\n]*+)\"|'(?P<{0}s>[^'\n]*+)'|`(?P<{0}b>[^`\n]*+)`)"
+
+# Every rule below reads a text in time that grows with its length: names are whole runs, taken once.
+RUN = re.compile(r"[\w.\-/$]+(?::+[\w.\-/$]+)*+")
+VALUE_RUN = re.compile(r"[\w+/=.~!@#$%^&*?-]{4,}+")
+SECRET_WORD = re.compile(SECRET, re.I)
+TYPED = re.compile(r":(?:str|string|String|any|char)\Z")
 
 BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 FORM = re.compile(rf"(?<![A-Za-z0-9+/=])(?:{FORMS})")
-LOGIN_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>{}$]*:(?P<v>[^\s@/\"'`<>]+)@")
+LOGIN_URL = re.compile(r"(?<=[A-Za-z0-9+.\-])://[^\s:/@\"'`<>{}$]*+:(?P<v>[^\s@/\"'`<>]++)@")
 SCHEME = re.compile(r"\b(?:Basic|basic)\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?![A-Za-z0-9+/=])|\b(?:Bearer|bearer|token)\s+(?P<w>[A-Za-z0-9._~+/-]{12,}=*)")
-COMMAND = re.compile(
-    rf"(?:\bcurl\b[^\n]*?\s(?:-u|--user)\s*[\"']?[^\s:\"']+:(?P<v>[^\s\"']+))|(?:\s--?(?:[\w-]*[_-])?(?:{SECRET})(?:\s+|=)[\"']?(?P<w>[^\s\"',)]+))|(?:\blogin\b[^\n]*?\s-p\s*[\"']?(?P<x>[^\s\"']+))", re.I
+OPTION = re.compile(rf"\s--?(?:[\w-]*[_-])?(?:{SECRET})(?:\s+|=)[\"']?(?P<v>[^\s\"',)]+)", re.I)
+#: Commands, and the option that brings the password somewhere behind on the line.
+COMMANDS = (
+    (re.compile(r"\bcurl\b", re.I), re.compile(r"\s(?:-u|--user)\s*[\"']?[^\s:\"']++:(?P<v>[^\s\"']+)", re.I)),
+    (re.compile(r"\blogin\b", re.I), re.compile(r"\s-p\s*[\"']?(?P<v>[^\s\"']+)", re.I)),
 )
 PAIR = re.compile(rf"auth\s*=\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*')\s*,\s*{QUOTED.format('p')}|getConnection\(\s*\"[^\"\n]*\"\s*,\s*\"[^\"\n]*\"\s*,\s*{QUOTED.format('q')}", re.I)
 ASSIGNED = re.compile(
-    # name, an optional type, an operator, perhaps what it falls back from, and a literal
-    rf"(?P<name>{NAME}[\w.\-]*)[\"'`]?\]?\s*(?P<op>:\s*(?:str|string|String|any|char\[\])\s*=|:=|===?|!==?|=>|[:=,])\s*(?:(?:[\w.\[\]\"']+)\s*(?:\|\||\?\?|or)\s*)?(?:[a-zA-Z]{{1,2}}(?=[\"']))?{QUOTED.format('a')}",
+    # behind a name: an optional type, an operator, perhaps what it falls back from, and a literal
+    rf"[\"'`]?\]?\s*(?P<op>:\s*(?:str|string|String|any|char\[\])\s*=|\[\]\s*=|:=|===?|!==?|=>|[:=,])\s*(?:(?:[\w.\[\]\"']+)\s*(?:\|\||\?\?|or)\s*)?(?:[a-zA-Z]{{1,2}}(?=[\"']))?{QUOTED.format('a')}",
     re.I,
 )
-CALLED = re.compile(rf"(?P<name>{NAME}\w*)[\"']?\s*(?:,\s*default\s*=\s*|,\s*)?\(?\s*{QUOTED.format('c')}", re.I)
 SETTER = re.compile(rf"\bset(?P<name>\w*?(?:{SECRET}))\(\s*{QUOTED.format('e')}", re.I)
-ATTRIBUTE = re.compile(rf"\b(?:name|key|id)\s*[=:]\s*[\"']?(?P<name>[\w.\-]*(?:{SECRET})[\w.\-]*)[\"']?\s*(?:[,\n]\s*)?\s*\bvalue\s*[=:]\s*(?:{QUOTED.format('v')}|(?P<vu>[^\s\"'<>]+))", re.I)
-DEFAULT = re.compile(rf"--(?P<name>[\w-]*(?:{SECRET}))[\"']\s*,\s*default\s*=\s*{QUOTED.format('f')}", re.I)
-PLAIN = re.compile(
-    rf"^(?P<lead>[ \t]*(?:(?:\#|//|;|/\*|<!--|\*|--)\s*)?(?:-\s+)?(?:export\s+|set\s+|ENV\s+|ARG\s+)?)(?P<name>{NAME}[\w.\-]*)[ \t]*(?P<op>=|:(?=[ \t])|:(?=\S+=))[ \t]*(?P<v>[^\s\"'`<{{\[(|>][^\n\r]*?)[ \t]*(?:\*/|-->)?[ \t]*\r?$",
-    re.I | re.M,
-)
+ATTRIBUTE = re.compile(rf"\b(?:name|key|id)\s*[=:]\s*[\"']?(?P<name>[\w.\-]++)[\"']?\s*(?:[,\n]\s*)?\s*\bvalue\s*[=:]\s*(?:{QUOTED.format('v')}|(?P<vu>[^\s\"'<>]+))", re.I)
+DEFAULT = re.compile(rf"(?<![\w-])--(?P<name>[\w-]++)[\"']\s*,\s*default\s*=\s*{QUOTED.format('f')}", re.I)
+#: A line of settings: what may stand before the name, the name with all that could belong to it, and what follows.
+LEAD = re.compile(r"[ \t]*(?:(?:\#|//|;|/\*|<!--|\*|--)\s*)?(?:-\s+)?(?:(?:export|set|ENV|ARG)[ \t]+)?", re.I)
+NAMES = re.compile(r"[\w.\-/:]++")
+PLAIN = re.compile(r"[ \t]*(?P<op>[=:])[ \t]*(?P<v>[^\s\"'`<{\[(|>][^\n\r]*?)[ \t]*(?:\*/|-->)?[ \t]*\r?$", re.M)
 IN_PATH = re.compile(rf"(?P<name>(?:{SECRET}|key))=(?P<v>[A-Za-z0-9_.~+-]+?)(?=-page\d|\.[A-Za-z]\w*$|[&/\\]|$)", re.I)
 NETRC = re.compile(r"\bpassword[ \t]+(?P<v>\S+)")
 PGPASS = re.compile(r"^(?!\#)[^\s:]+:[^\s:]*:[^\s:]*:[^\s:]+:(?P<v>[^\s]+)[ \t]*\r?$", re.M)
@@ -113,10 +121,26 @@ def _encoding():
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def characters_per_subword(value: str) -> float:
+@lru_cache(1 << 16)
+def _measured(value: str) -> float:
     return len(value) / max(1, len(_encoding().encode_ordinary(value)))
 
 
+def characters_per_subword(value: str) -> float:
+    """Length over subwords; short values, which come again and again, are remembered."""
+    return _measured(value) if len(value) <= 64 else len(value) / max(1, len(_encoding().encode_ordinary(value)))
+
+
+def unnatural_runs(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of all runs of a text that read like no language."""
+    starts, ends = [], []
+    for m in VALUE_RUN.finditer(text):
+        if characters_per_subword(m.group()) < UNNATURAL:
+            starts.append(m.start())
+            ends.append(m.end())
+    return starts, ends
+
+
 def _labelled(name: str) -> bool:
     """Whether a name is about a secret but holds something else: ``token_header``, ``passwordLabel``."""
     last = re.split(r"[_.\-/:]|(?<=[a-z0-9])(?=[A-Z])", name.strip("\"'"))[-1]
@@ -154,22 +178,18 @@ def _placeholder(value: str) -> bool:
 
 
 def _counts(value: str, quoted: bool, explicit: bool = False) -> bool:
-    """Whether a value in the place of a secret is one; in an explicit place any literal is that isn't a message."""
+    """Whether a value in the place of a secret reads unnaturally enough for it; ``explicit``: whose name leaves no doubt."""
     if _placeholder(value) or not quoted and REFERENCE.fullmatch(value):
         return False
-    words = value.split()
+    words, measure = value.split(), characters_per_subword(value)
     if explicit:
-        return len(words) == 1 or not MESSAGE.match(value)
+        return measure < PLACED and (len(words) == 1 or not MESSAGE.match(value))
     digits = any(c.isdigit() for c in value)
-    if len(words) > 6 or len(words) > 1 and (not digits or not words[-1][-1:].isdigit() or value[0].isupper() and not words[-1].isdigit()):
-        return False
+    if len(words) > 1:  # a passphrase with a number at its end
+        return measure < PLACED and len(words) <= 6 and words[-1][-1:].isdigit() and (not value[0].isupper() or words[-1].isdigit())
     if digits and any(c.isalpha() for c in value):
-        return True
-    return len(words) == 1 and characters_per_subword(value) < UNNATURAL and (digits or len(value) >= 8)
-
-
-def _random(value: str) -> bool:
-    return not _placeholder(value) and characters_per_subword(value) < UNNATURAL
+        return measure < MIXED
+    return measure < UNNATURAL and (digits or len(value) >= 8)
 
 
 def _group(m: re.Match, prefix: str) -> tuple[str, int, int] | None:
@@ -179,60 +199,113 @@ def _group(m: re.Match, prefix: str) -> tuple[str, int, int] | None:
     return None
 
 
+class _Places:
+    """Spans that are taken or refused, so that a place is judged by the first rule that reaches it."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def take(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
+def _lines_with(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int, int]]:
+    """Start and end of every line that the pattern finds something in, and where the first find ends."""
+    pos = 0
+    while m := pattern.search(text, pos):
+        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+        b = len(text) if b < 0 else b
+        yield a, b, m.end()
+        pos = b + 1
+
+
+def _settings(text: str, a: int, b: int) -> tuple[str, str, str, int] | None:
+    """Lead, name, operator and start of the value of a line ``name = value`` or ``name: value``, quotes aside."""
+    lead = LEAD.match(text, a, b)
+    names = NAMES.match(text, lead.end(), b)
+    if not names:
+        return None
+    name, end = names.group(), names.end()
+    if name.endswith(":") and text[end : end + 1] in " \t":
+        name, end = name[:-1], end - 1
+    elif text[end : end + 1] == "=" and ":" in name and _secret_name(name[: name.index(":")]):
+        name, end = name[: name.index(":")], names.start() + name.index(":")  # ``key:value=``
+    m = PLAIN.match(text, end, min(len(text), b + 1))
+    return (lead.group(), name, m["op"], m.start("v")) if m and not (m["op"] == ":" and text[m.end("op") : m.end("op") + 1] not in " \t" and "=" not in m["v"]) else None
+
+
 def credential_spans(text: str, path: str = "", is_path: bool = False) -> list[tuple[int, int]]:
     """Start and end of every credential in one text, in code points, without overlaps; ``path`` names its file."""
-    found: list[tuple[int, int]] = []
-    taken: list[tuple[int, int]] = []
+    starts, ends = unnatural_runs(text)
+    places = _Places()
+
+    def unnatural(a: int, b: int) -> bool:
+        """Whether an unnatural run lies in the span or reaches into it."""
+        i = bisect_left(starts, b)
+        return i > 0 and ends[i - 1] > a
 
     def add(a: int, b: int, good: bool) -> None:
-        if any(x < b and a < y for x, y in taken):
-            return
-        if good:
-            taken.append((a, b))
-            found.append((a, b))
+        if good and a < b and places.free(a, b):
+            places.take(a, b)
 
     for m in BLOCK.finditer(text):
-        add(m.start(), m.end(), m.end() - m.start() > 100)
+        add(m.start(), m.end(), m.end() - m.start() > 100 and unnatural(*m.span()))
     for m in FORM.finditer(text):
         body = re.sub(r"^(?:[a-z]+_live_|[a-z]+_test_|[a-z_]{2,11}[_-]|AKIA|ASIA|AIza)", "", m.group())
-        add(m.start(), m.end(), len(set(body.lower())) > 5 and not _placeholder(m.group()))
+        add(m.start(), m.end(), len(set(body.lower())) > 5 and not _placeholder(m.group()) and unnatural(*m.span()))
     if is_path:
         for m in IN_PATH.finditer(text):
-            add(*m.span("v"), len(m["v"]) >= 8 and _random(m["v"]))
-        return sorted(found)
+            add(*m.span("v"), len(m["v"]) >= 8 and not _placeholder(m["v"]) and unnatural(*m.span("v")))
+        return list(zip(places.starts, places.ends))
     for m in LOGIN_URL.finditer(text):
-        add(*m.span("v"), not _placeholder(m["v"]))
+        add(*m.span("v"), _counts(m["v"], True, True))
     for m in SCHEME.finditer(text):
         kind = "v" if m["v"] else "w"
-        add(*m.span(kind), _random(m[kind]) and any(c.isdigit() or c.isupper() for c in m[kind]))
+        add(*m.span(kind), not _placeholder(m[kind]) and unnatural(*m.span(kind)) and any(c.isdigit() or c.isupper() for c in m[kind]))
     for m in PAIR.finditer(text):
         value, a, b = _group(m, "p") or _group(m, "q")
         add(a, b, _counts(value, True, True))
-    for m in COMMAND.finditer(text):
-        kind = "v" if m["v"] else "w" if m["w"] else "x"
-        add(*m.span(kind), _counts(m[kind], False))
-    for pattern, key in ((DEFAULT, "f"), (ATTRIBUTE, "v"), (SETTER, "e"), (ASSIGNED, "a")):
+    for command, option in COMMANDS:
+        for _, line_end, begin in _lines_with(command, text):
+            for m in option.finditer(text, begin, line_end):
+                add(*m.span("v"), _counts(m["v"], False))
+    for m in OPTION.finditer(text):
+        add(*m.span("v"), _counts(m["v"], False))
+    for pattern, key in ((DEFAULT, "f"), (ATTRIBUTE, "v"), (SETTER, "e")):
         for m in pattern.finditer(text):
-            got = _group(m, key) or (m["vu"], *m.span("vu"))
             if _secret_name(m["name"]):
-                listed = key == "a" and m["op"] == ","  # perhaps one name after another
-                add(got[1], got[2], _counts(got[0], True, not listed and _explicit(m["name"])))
-    for m in PLAIN.finditer(text):
-        if _secret_name(m["name"]):
-            value = m["v"]
-            spaced = " " in value
-            commented = bool(m["lead"].strip())
-            settings = m["op"] == "=" or commented or not spaced
-            if not (value.endswith((";", ",", "{", "(")) or spaced and not (commented or settings)):
-                add(m.start("v"), m.start("v") + len(value.rstrip()), _counts(value.rstrip(), False, bool(SETTINGS.search(path)) and _explicit(m["name"])))
+                value, a, b = _group(m, key) or (m["vu"], *m.span("vu"))
+                add(a, b, _counts(value, True, _explicit(m["name"])))
+    read = 0  # what is the value of one name is no name itself
+    for line, line_end, _ in _lines_with(SECRET_WORD, text):
+        for run in RUN.finditer(text, line, line_end):
+            if run.start() < read or not SECRET_WORD.search(run.group()) or not (m := ASSIGNED.match(text, run.end())):
+                continue
+            name, read = TYPED.sub("", run.group()), m.end()
+            if _secret_name(name):
+                value, a, b = _group(m, "a")
+                add(a, b, _counts(value, True, m["op"] != "," and _explicit(name)))  # a comma: perhaps one name after another
+        plain = _settings(text, line, line_end)
+        if plain and _secret_name(plain[1]):
+            lead, name, op, at = plain
+            value = text[at:line_end].rstrip()
+            for end in ("*/", "-->"):
+                value = value.removesuffix(end).rstrip()
+            spaced, commented = " " in value, bool(lead.strip())
+            if not (value.endswith((";", ",", "{", "(")) or spaced and not (commented or op == "=")):
+                add(at, at + len(value), _counts(value, False, bool(SETTINGS.search(path)) and _explicit(name)))
     base = re.split(r"[\\/]", path.lower())[-1]
-    if base.endswith("netrc"):
-        for m in NETRC.finditer(text):
-            add(*m.span("v"), not _placeholder(m["v"]))
-    if base.endswith(WORDLESS):
-        for m in PGPASS.finditer(text):
-            add(*m.span("v"), not _placeholder(m["v"]))
-    return sorted(found)
+    for rule in [NETRC] * base.endswith("netrc") + [PGPASS] * base.endswith(WORDLESS):
+        for m in rule.finditer(text):
+            add(*m.span("v"), _counts(m["v"], True, True))
+    return list(zip(places.starts, places.ends))
 
 
 SPANS = "array<struct<start_char:int,end_char:int>>"
@@ -283,8 +356,14 @@ def redact(text: Column, spans: Column, mark: str = "*") -> Column:
 
 
 def redacted(rows: DataFrame, column: str, row_id: str, path: Column | None = None) -> DataFrame:
-    """``row_id`` and ``column``, redacted, of every row; repeated rows stay. Null texts stay null."""
-    is_path = path is None
-    path = F.lit("") if is_path else path
-    spans = F.when(_of_interest(F.col(column), path), _finder(is_path)(F.coalesce(column, F.lit("")), path))
-    return rows.select(row_id, column, spans.alias("_s")).select(row_id, redact(F.col(column), F.col("_s")).alias(column))
+    """``rows`` with ``column`` redacted; every row stays, repeated ones too, and null texts stay null.
+
+    Rows in which no rule could find anything are set apart first, so that their texts never leave the JVM.
+    """
+    is_path, path = path is None, F.lit("") if path is None else path
+    finder = _finder(is_path)
+    marked = rows.withColumn("_credential_path", path)
+    interest = F.coalesce(_of_interest(F.col(column), F.col("_credential_path")), F.lit(False))
+    found = marked.where(interest).withColumn("_credential_spans", finder(column, "_credential_path"))
+    plain = marked.where(~interest).select(rows.columns)
+    return found.withColumn(column, redact(F.col(column), F.col("_credential_spans"))).select(rows.columns).unionByName(plain)

@@ -42,9 +42,15 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, root: str) -> DataFrame:
-    """Every file with its credentials blanked out, all offsets and line ends as they were."""
+    """Every file with the credentials in its content and path blanked out, all offsets and line ends as they were."""
     files = table(spark, root, "source_files", "file_id", "relative_path", "content")
-    return credentials.redacted(files, "content", "file_id", F.col("relative_path"))
+    contents = credentials.redacted(files, "content", "file_id", F.col("relative_path"))
+    return credentials.redacted(contents, "relative_path", "file_id")
+
+
+def p4_redacted_snippets(spark: SparkSession, root: str) -> DataFrame:
+    """Every finding's snippet in the same way."""
+    return credentials.redacted(table(spark, root, "findings", "id", "code_snippet"), "code_snippet", "id", F.lit(""))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
+    "p4_redacted_snippets": p4_redacted_snippets,
     "p5_found": p5_found,
     "p5_rates": p5_rates,
     "p6_ids": p6_ids,

@@ -92,3 +92,29 @@ def test_literals_of_explicit_names_count(marked, path):
 @pytest.mark.parametrize("text", NO_LITERALS)
 def test_no_literals(text):
     assert credential_spans(text) == []
+
+
+MANY = {"a.": 50_000, "token.": 17_000, "-": 100_000, "eyJaaaaaaaa-": 9_000, "password=": 11_000, "curl -u x ": 10_000, "a://": 25_000, "token:": 17_000, "name=token ": 9_000, 'password="': 10_000, "login ": 17_000, "-----BEGIN PRIVATE KEY-----": 4_000}
+
+
+@pytest.mark.parametrize("part", MANY)
+def test_a_long_run_takes_no_longer_than_its_length(part):
+    import time
+
+    start = time.time()
+    credential_spans("password " + part * MANY[part], "x/.env")
+    assert time.time() - start < 5
+
+
+def test_without_the_measure_nothing_is_found(monkeypatch):
+    """No rule stands beside the characters per subword."""
+    texts = [(m[: m.index("<")] + m[m.index("<") + 1 : m.rindex(">")] + m[m.rindex(">") + 1 :], p) for m, p in FOUND + LITERALS] + ALONE
+    monkeypatch.setattr("codequarry.llm.credentials.characters_per_subword", lambda value: 99.0)
+    assert [t for t, p in texts if credential_spans(t, p)] == []
+
+
+def test_all_columns_are_redacted(spark):
+    path = "data/list@access_token=4ae72868dc0e1459b8d797e55b5363ad.json"
+    df = spark.createDataFrame([(1, path, "x", "", 0), (1, None, "", "", 0), (2, "plain.py", None, "", 0)], SCHEMA)
+    got = [r.relative_path for r in redacted(df, "relative_path", "file_id").collect()]
+    assert sorted(map(str, got)) == sorted(["None", "plain.py", path.replace("4ae72868dc0e1459b8d797e55b5363ad", "*" * 32)])
