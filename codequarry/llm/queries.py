@@ -17,14 +17,8 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_kinds(spark: SparkSession, root: str) -> DataFrame:
     """Files and characters by kind; files that someone on the team wrote are ``hand-written``."""
-    files = table(spark, root, "source_files", "file_id", "relative_path", "content").dropDuplicates(["file_id"])
-    kinds = handwritten.not_handwritten(files)
-    sizes = files.where("content is not null").select("file_id", F.length("content").cast("long").alias("chars"))
-    return (
-        sizes.join(kinds, "file_id", "left")
-        .groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind"))
-        .agg(F.count("*").alias("n_files"), F.sum("chars").alias("n_chars"))
-    )
+    found = handwritten.kinds(table(spark, root, "source_files", "file_id", "relative_path", "content"))
+    return found.groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind")).agg(F.count("*").alias("n_files"), F.sum("chars").alias("n_chars"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
