@@ -69,7 +69,7 @@ LAYOUT = "lines int, emitted int, code int, literal int, repeats double, top dou
 #: Canonical layout: lines that go on are joined, and no blanks stand but between words; in languages of braces a line
 #: ends behind every statement and brace, else where it ended.
 GOES_ON = re.compile(r"(?<=[,(\[{\\])\n\s*|\n\s*(?=[)\]}])")
-LOOSE_BLANKS = re.compile(r"(?<![\w\n])[^\S\n]+|[^\S\n]+(?!\w)|^[^\S\n]+", re.M)
+LOOSE_BLANKS = re.compile(r"^[^\S\n]++|(?<![\w\s])[^\S\n]++|[^\S\n]++(?!\w)", re.M)
 ENDS_LINE = re.compile(r"([;{}])\n*")
 
 

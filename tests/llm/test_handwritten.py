@@ -38,7 +38,7 @@ def test_empty_and_long(spark):
 
 
 def test_emission_joins_and_splits_lines():
-    lines, emitted = canonical("if (a) { b( 1 , 2 ); c() ; }\nreturn  x", False)
+    lines, emitted = canonical("if (a) { b( 1 , 2 ); c() ; }\nreturn x", False)
     assert lines == ["if(a){b(1,2);c();}", "return x"] and emitted == ["if(a){", "b(1,2);", "c();", "}", "return x"]
     assert canonical("f(a,\n   b)\nx = [\n 1\n]\n", True)[1] == ["f(a,b)", "x=[1]"]
 
