@@ -1,14 +1,17 @@
 """Sentence boundaries across languages and scripts.
 
-A text is cut at blank lines, headings and list items; what remains is read by a pushdown automaton. Its
-stack holds the open quotations and brackets; a terminator on an empty stack ends a sentence unless the word
-before it is an abbreviation (looked up backwards in a trie) that the next word doesn't contradict. All
-languages share one table, so a wrong or missing language tag doesn't matter.
+A text is read by a pushdown automaton. At the bottom of its stack lie the levels of the lists that are open, by
+indent; above them the open quotations and brackets of the passage being read. Blank lines end passages,
+headings close all lists, and an item opens a level or goes back to one. A terminator with no quotation or bracket
+open ends a sentence unless the word before it is an abbreviation (looked up backwards in a trie) that the next word
+doesn't contradict. All languages share one table, so a wrong or missing language tag doesn't matter. Reading
+takes time that grows with the length of the text, however deep or unbalanced its marks are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,11 +47,11 @@ LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|\Z)")
 HEADING = re.compile(r"\s{0,3}#{1,6}\s+\S")
 ITEM = re.compile(r"\s*(?:[-*+•‣◦▪·–]|\d{1,3}[.)]|\(\d{1,3}\)|[a-z]\))\s+\S")
 EVENT = re.compile(rf"[{re.escape(STOPS)}]+|[\"«»„“”「」『』（）()\[\]【】《》〈〉｢｣]|(?<=[฀-๿])\s+(?=[฀-๿])")
-WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ॿ.’-])*\Z")
+LETTER, WORD_PART = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]|[̀-ͯऀ-ॿ.’-]")
 CODELIKE = re.compile(r"[^\s,;!?]*(?:\w_\w|\w\(\)|\w/\w|\w\.[a-z]{1,4}(?![a-z.])|[a-z][A-Z]\w*\()")
 CJK = re.compile(r"[⺀-鿿가-퟿豈-﫿＀-￯]")
 PARTICLE = re.compile(r"[とっがをはのにでもやよねかへ가-퟿]")
-NUMERAL = re.compile(r"\d\Z")
+NUMERAL, LETTERS, DAY = re.compile(r"\d"), re.compile(r"[^\W\d_]+"), re.compile(r"(?<![\d.,])\d{1,2}\Z")
 
 
 def _trie() -> dict:
@@ -104,38 +107,62 @@ def starts_sentence(s: str, i: int, shouted: bool = False) -> bool:
 def _pairs(s: str, events: list[re.Match]) -> dict[int, int]:
     """Position of each opening mark that has a partner -> position of the partner."""
     stack: list[tuple[str, int]] = []
+    open_marks: Counter = Counter()
     found: dict[int, int] = {}
 
+    def opened(mark: str, at: int) -> None:
+        stack.append((mark, at))
+        open_marks[mark] += 1
+
     def close(kinds: str, at: int) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in kinds:
-                found[stack[k][1]] = at
-                del stack[k:]
+        if not any(open_marks[k] for k in kinds):
+            return False
+        while True:  # what was opened since has no partner
+            mark, where = stack.pop()
+            open_marks[mark] -= 1
+            if mark in kinds:
+                found[where] = at
                 return True
-        return False
 
     for m in events:
         c, at = m.group(), m.start()
         if c == '"':
             follows = s[at + 1 : at + 2]
-            if any(o == '"' for o, _ in stack) and (at and not s[at - 1].isspace() or not follows or follows.isspace()):
+            if open_marks['"'] and (at and not s[at - 1].isspace() or not follows or follows.isspace()):
                 close('"', at)
             elif follows and not follows.isspace():
-                stack.append(('"', at))
+                opened('"', at)
         elif c == "„":
-            stack.append((c, at))
+            opened(c, at)
         elif c == "“":
-            if not any(o == "„" for o, _ in stack) or not close("„", at):
-                stack.append((c, at))
+            if not close("„", at):
+                opened(c, at)
         elif c == "”":
             close("“„", at)
         elif c in PAIRS:
-            stack.append((c, at))
+            opened(c, at)
         elif c in CLOSERS:
             close(CLOSERS[c], at)
     return found
 
 
+def _word_before(s: str, i: int, begun: int) -> int:
+    """Where the word that ends at ``i`` starts, not before ``begun``; ``i`` if there is none."""
+    k = i
+    while k > begun and WORD_PART.match(s[k - 1]):
+        k -= 1
+    while k < i and not LETTER.match(s[k]):
+        k += 1
+    return k
+
+
+def _before(s: str, i: int, begun: int) -> int:
+    """The place of the last character before ``i`` that is no white space, or one less than ``begun``."""
+    while i > begun and s[i - 1].isspace():
+        i -= 1
+    return i - 1
+
+
 def _after_stop(s: str, m: re.Match, begun: int) -> int:
     """End of the sentence that the terminator ``m`` closes, or 0 if it closes none."""
     run, i, end = m.group(), m.start(), m.end()
@@ -149,43 +176,44 @@ def _after_stop(s: str, m: re.Match, begun: int) -> int:
         at += 1
     if at >= len(s):
         return end
-    before = s[max(begun, i - 24) : i]
+    last = s[i - 1] if i > begun else ""
     ellipsis = "…" in run or (len(run) > 1 and set(run) == {"."})
     if any(c in "。！？｡।॥" for c in run) or (ellipsis and not spaced):
-        if not spaced and ellipsis and not (before and CJK.match(before[-1])):
+        if not spaced and ellipsis and not (last and CJK.match(last)):
             return 0
         return 0 if s[at] in CONTINUES else end
     if not spaced:
-        cjk = before and CJK.match(before[-1]) and CJK.match(s[end]) and run[-1] in "!?"
+        cjk = last and CJK.match(last) and CJK.match(s[end]) and run[-1] in "!?"
         return end if cjk else 0
-    word = WORD.search(before)
-    token = word.group() if word else ""
+    begin = _word_before(s, i, begun)
+    token = s[begin:i]
     if ellipsis:
         return end if starts_sentence(s, at, _shouts(token)) else 0
     if run != "." and run != "．":
         return 0 if s[at] in ",;" else end
-    if NUMERAL.search(before):
-        m2 = re.compile(r"[^\W\d_]+").match(s, at)
-        if m2 and m2.group().lower() in MONTHS and re.search(r"(?<![\d.,])\d{1,2}\Z", before):
+    if last.isdigit() and NUMERAL.match(last):
+        month = LETTERS.match(s, at)
+        if month and month.group().lower() in MONTHS and DAY.search(s[max(begun, i - 3) : i]):
             return 0
         return end if starts_sentence(s, at) else 0
     if not token:
         return end
+    k = _before(s, begin, begun)
+    number_before = k >= begun and NUMERAL.match(s[k]) is not None
+    # "z. B", "p. ex", "т. д": the single letter with a point before the word
+    single = k > begun and s[k] == "." and s[k - 1].isalnum() and (k - 1 == begun or not (s[k - 2].isalnum() or s[k - 2] == "_"))
+    pair = f"{s[k - 1]}.{token}" if single else ""
     kind = abbreviation(token) or abbreviation(re.split("['’]", token)[-1])
     if not kind and "." not in token:
-        # "z. B", "p. ex", "т. д": the word together with the single letter before it
-        two = re.search(r"(?:^|[^\w])(\w)\.\s*\Z", before[: word.start()])
-        if two:
-            kind = abbreviation(f"{two.group(1)}.{token}")
+        kind = abbreviation(pair) if pair else kind
     elif len(token) == 1:
-        two = re.search(r"(?:^|[^\w])(\w)\.\s*\Z", before[: word.start()])
-        kind = (abbreviation(f"{two.group(1)}.{token}") if two else "") or kind
-    if len(token) == 1 and re.search(r"\d\s*\Z", before[: word.start()]):
+        kind = (abbreviation(pair) if pair else "") or kind
+    if len(token) == 1 and number_before:
         kind = "maybe"  # a unit after a number: "48.7 s."
     elif not kind and len(token) == 1:
         # initials, and the first of two single letters; a lone small letter ends a sentence if a new one starts
         kind = "never" if not token.islower() or re.compile(r"\w{1,3}\.").match(s, at) else "maybe"
-    if kind == "title" and re.search(r"\d\s*\Z", before[: word.start()]):
+    if kind == "title" and number_before:
         kind = "maybe"
     if kind == "title":
         kind = "never" if token[0].isupper() or not token[0].islower() else ""
@@ -260,8 +288,14 @@ def _block(s: str) -> Iterator[tuple[int, int]]:
 
 
 def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
-    """Start, end and whether it is a unit by itself, of headings, items and paragraphs."""
-    start, end, unit, fresh = 0, 0, False, True
+    """Start, end and whether it is a unit by itself, of headings, items and paragraphs.
+
+    ``levels`` are the indents of the open lists' items, the deepest last. A line with a mark is an item where a
+    passage begins or in an open list; elsewhere only behind something complete, as numbers and dashes also start
+    lines that merely go on.
+    """
+    start, end, fresh = 0, 0, True
+    levels: list[int] = []
     for m in LINE.finditer(text):
         line = m.group()
         if not line:
@@ -269,29 +303,41 @@ def _blocks(text: str) -> Iterator[tuple[int, int, bool]]:
         a, b = m.span()
         if not line.strip():
             if end > start:
-                yield start, end, unit
+                yield start, end, bool(levels)
             start = end = b
-            unit, fresh = False, True
+            levels.clear()
+            fresh = True
             continue
         heading = bool(HEADING.match(line))
         item = not heading and bool(ITEM.match(line))
-        if item and not (fresh or unit):
-            # a number or dash at the start of a wrapped line is no item: what stands before must be complete
-            tail = text[start:end].rstrip()
-            joined = tail + " " + line.lstrip()
-            stop = EVENT.match(joined, len(tail) - 1) if tail[-1:] in STOPS else None
-            item = tail.endswith(":") or stop is not None and _after_stop(joined, stop, 0) > 0
+        if item and not (fresh or levels):
+            k = _before(text, end, start)
+            item = text[k] == ":" or text[k] in STOPS and _complete(text, start, k, line)
         if heading or item:
             if end > start:
-                yield start, end, unit
-            start, end, unit, fresh = a, b, True, False
+                yield start, end, bool(levels)
+            start, end, fresh = a, b, False
             if heading:
                 yield start, end, True
-                start, unit, fresh = b, False, True
+                start, fresh = b, True
+                levels.clear()
+            else:
+                indent = len(line) - len(line.lstrip())
+                while levels and levels[-1] >= indent:
+                    levels.pop()
+                levels.append(indent)
         else:
             end, fresh = b, False
     if end > start:
-        yield start, end, unit
+        yield start, end, bool(levels)
+
+
+def _complete(text: str, start: int, k: int, line: str) -> bool:
+    """Whether the terminator at ``k``, in a passage from ``start`` on, ends a sentence before ``line``."""
+    begin = max(text.rfind("\n", start, k), text.rfind("\r", start, k), start - 1) + 1
+    joined = text[begin : k + 1] + " " + line.lstrip()
+    stop = EVENT.match(joined, k - begin)
+    return stop is not None and _after_stop(joined, stop, 0) > 0
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:

@@ -62,3 +62,25 @@ def test_table(spark):
     got = sentences(spark.createDataFrame(rows, "doc_id int, text string, start_char int"), "doc_id", "text")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, 0, 4), (1, 5, 7), (None, 0, 2)], key=repr)
     assert sentences(spark.createDataFrame([], "doc_id int, text string"), "doc_id", "text").count() == 0
+
+
+MANY = {"(": 50_000, "()": 50_000, "« ": 50_000, '"a ': 30_000, "a. ": 30_000, "a.": 50_000, "x\n2. y\n": 10_000, "“a” ": 20_000, ". ": 50_000, "“„": 30_000, "a-": 50_000}
+
+
+@pytest.mark.parametrize("part", MANY)
+def test_time_grows_with_the_length(part):
+    import time
+
+    start = time.time()
+    spans = sentence_spans(part * MANY[part] + ("a" * 1000 + ". B." if part == "a-" else ""))
+    assert time.time() - start < 5 and all(a < b for a, b in spans)
+
+
+def test_lists_of_several_levels():
+    text = "Steps:\n1. First goes on\n   over two lines.\n  - inner (a. b.)\n    - deepest\n2. Second.\n\nIt began in\n2024. Then more."
+    assert [text[a:b] for a, b in sentence_spans(text)] == ["Steps:", "1. First goes on\n   over two lines.", "- inner (a. b.)", "- deepest", "2. Second.", "It began in\n2024.", "Then more."]
+
+
+def test_an_abbreviation_is_found_however_long_the_word_before():
+    text = "x" * 200 + "-Dr. Smith came.  He left " + " " * 90 + "z. B. Bonn."
+    assert [text[a:b] for a, b in sentence_spans(text)][-1].startswith("He left")
