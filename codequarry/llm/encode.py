@@ -47,9 +47,14 @@ def vocabulary(name: str = VOCABULARY, folder: str = VOCABULARIES) -> dict[str,
 
 
 @cache
-def _rank_json(name: str, folder: str) -> str:
+def _rank_json(name: str, folder: str, whole_words: bool) -> str:
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in vocabulary(name, folder).items():
+        if whole_words:
+            try:
+                token = token.encode("latin-1").decode()
+            except UnicodeDecodeError:  # part of a character, so no word
+                continue
         buckets[zlib.crc32(token.encode()) % BUCKETS][token] = rank
     return json.dumps(buckets)
 
@@ -68,9 +73,12 @@ def _constant(spark: SparkSession, text: str, kind: str) -> Column:
     return spark.createDataFrame([(text,)], "j string").select(F.from_json("j", kind).alias("t")).scalar()
 
 
-def rank_table(spark: SparkSession, name: str = VOCABULARY, folder: str = VOCABULARIES) -> Column:
-    """The rank map of one vocabulary, a constant. Lambdas get it as an argument, see :func:`_let`."""
-    return _constant(spark, _rank_json(name, folder), "array<map<string,int>>")
+def rank_table(spark: SparkSession, name: str = VOCABULARY, folder: str = VOCABULARIES, whole_words: bool = False) -> Column:
+    """The rank map of one vocabulary, a constant. Lambdas get it as an argument, see :func:`_let`.
+
+    Its keys are tokens as byte strings, or as texts the tokens that are whole words.
+    """
+    return _constant(spark, _rank_json(name, folder, whole_words), "array<map<string,int>>")
 
 
 def rank_of(ranks: Column, token: Column) -> Column:
@@ -162,8 +170,9 @@ def byte_string(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def _cut(documents: DataFrame, key: str, text: str, ranks: Column) -> DataFrame:
-    """``k, words`` of every text: each word's place, its bytes, and its id if it is a token."""
+def _cut(documents: DataFrame, key: str, text: str, name: str, folder: str) -> DataFrame:
+    """``k, words`` of every text: each word's place, and its id if it is a token, else its bytes."""
+    ranks = rank_table(documents.sparkSession, name, folder, whole_words=True)
     cut = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
     return documents.select(F.col(key).alias("k"), F.struct(ranks.alias("ranks"), cut.alias("cut")).alias("x")).select(
         "k",
@@ -171,9 +180,7 @@ def _cut(documents: DataFrame, key: str, text: str, ranks: Column) -> DataFrame:
             F.col("x"),
             lambda x: F.transform(
                 x["cut"],
-                lambda w, i: _let(
-                    byte_string(w), lambda b: _let(rank_of(x["ranks"], b), lambda r: F.struct(i.alias("at"), r.alias("id"), F.when(r.isNull(), b).alias("w")))
-                ),
+                lambda w, i: _let(rank_of(x["ranks"], w), lambda r: F.struct(i.alias("at"), r.alias("id"), F.when(r.isNull(), byte_string(w)).alias("w"))),
             ),
         ).alias("words"),
     )
@@ -188,7 +195,7 @@ def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, fo
     """
     ranks = rank_table(documents.sparkSession, name, folder)
     cut = written(
-        _cut(documents, key, text, ranks).select(
+        _cut(documents, key, text, name, folder).select(
             "k",
             F.transform(F.filter("words", lambda w: w["id"].isNotNull()), lambda w: w["at"].cast("long") * PLACE + w["id"]).alias("packed"),
             F.transform(F.filter("words", lambda w: w["id"].isNull()), lambda w: F.struct(w["at"].alias("at"), w["w"].alias("w"))).alias("rare"),
@@ -214,7 +221,7 @@ def count_tokens(documents: DataFrame, key: str, text: str, name: str = VOCABULA
     """
     ranks = rank_table(documents.sparkSession, name, folder)
     cut = written(
-        _cut(documents, key, text, ranks).select(
+        _cut(documents, key, text, name, folder).select(
             "k",
             F.size(F.filter("words", lambda w: w["id"].isNotNull())).cast("long").alias("n"),
             F.transform(F.filter("words", lambda w: w["id"].isNull()), lambda w: w["w"]).alias("rare"),
