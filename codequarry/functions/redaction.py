@@ -32,7 +32,7 @@ PATTERNS = [
     (r"(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{20,}", "[REDACTED_KEY]"),
     (r"xox[baprs]-[A-Za-z0-9\-]{10,}", "[REDACTED_TOKEN]"),
 ]
-PLACEHOLDER = r"\[REDACTED_(?:DB_URL|KEY|TOKEN|PASSWORD|SECRET)\]"
+PLACEHOLDER = r"\[REDACTED_(?:DB_URL|KEY|TOKEN|PASSWORD|SECRET|CREDENTIAL)\]"
 
 
 def redact(text: Column) -> Column:

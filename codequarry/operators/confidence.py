@@ -41,7 +41,7 @@ def enrich(findings: DataFrame, rules: DataFrame) -> DataFrame:
     one rule the first by number counts.
     """
     known = rules.where("rule_id is not null").groupBy("rule_id").agg(F.min_by(F.struct("base_confidence", "cwe", "language"), "rule_no").alias("rule"))
-    joined = findings.join(F.broadcast(known), "rule_id", "left")
+    joined = findings.join(known, "rule_id", "left")
     base = F.when((F.col("confidence") == 50) & F.col("rule.base_confidence").isNotNull(), F.col("rule.base_confidence")).otherwise(F.coalesce("confidence", F.lit(50)))
     return joined.select(
         *[c for c in findings.columns if c not in ("cwe", "language")],

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import forward_slashes
-from codequarry.sources.files import lines
+from codequarry.sources.files import delivered_lines
 
 # Severity and confidence of each rule, patterns, ports, event paths.
 RULES = {
@@ -26,6 +26,8 @@ EVENT = r"(?i)\$\{\{\s*github\.event\.(?:issue\.title|issue\.body|pull_request\.
 USES = r"^\s+(?:-\s+)?uses:\s+([^\s@#]+)@([^\s#]+)"
 OPEN_INGRESS = r"(?i)cidr_blocks\s*=\s*\[[\"']0\.0\.0\.0/0[\"']\]"
 TERRAFORM_SECRET = r"(?i)(?:password|secret|api_key|access_key|private_key|token)\s*=\s*['\"]([^'\"]{8,})['\"]"
+IGNORED = r"(^|/)(?:\.git|node_modules|\.venv|venv|__pycache__|\.next|dist|build|target|\.tox)/"
+MOST_BYTES = 512 * 1024
 WORKLOADS = {"Pod", "Deployment", "DaemonSet", "StatefulSet", "ReplicaSet", "Job", "CronJob"}
 
 
@@ -52,14 +54,11 @@ def _documents(files: DataFrame, key: str) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def read(contents: pd.Series, kinds: pd.Series) -> pd.Series:
-        try:
-            import yaml
-        except ImportError:
-            yaml = None
+        import yaml  # raises where it is missing: no reader must not look like no findings
 
         def one(text: str, kind: str) -> list[str]:
             try:
-                data = yaml.safe_load(text) if yaml else None
+                data = yaml.safe_load(text)
             except Exception:  # noqa: BLE001  a broken document is no finding
                 return []
             if not isinstance(data, dict):
@@ -95,13 +94,17 @@ def _documents(files: DataFrame, key: str) -> DataFrame:
 
 
 def audit(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """``key, path, line_no, rule_id, severity, confidence`` of all configuration rules. Null contents have none."""
-    all_lines = lines(files.where(config_kind(F.col("relative_path")).isNotNull()), key).withColumn("kind", config_kind(F.col("path"))).withColumn("t", F.trim("line"))
+    """``key, path, line_no, rule_id, severity, confidence`` of all configuration rules. Null contents have none.
+
+    Files below folders of tools and results are left out, as are those of more than 512 KiB.
+    """
+    files = files.where(~forward_slashes(F.col("relative_path")).rlike(IGNORED) & (F.octet_length("content") <= MOST_BYTES))
+    all_lines = delivered_lines(files.where(config_kind(F.col("relative_path")).isNotNull()), key).withColumn("kind", config_kind(F.col("path"))).withColumn("t", F.trim("line"))
     docker = all_lines.where((F.col("kind") == "dockerfile") & (F.col("t") != "") & ~F.col("t").startswith("#"))
     value = F.concat(*[F.regexp_extract("t", IMAGE_SECRET, i) for i in (2, 3, 4)])
     baked = docker.where(F.regexp_extract("t", IMAGE_SECRET, 1).rlike(SECRET_NAME) & (value != "") & ~value.startswith("${"))
     user = F.lower(F.regexp_extract("t", r"(?i)^USER\s+(\S+)", 1))
-    stages = docker.groupBy(key, "path").agg(
+    stages = docker.groupBy(key, "path", "copy_no").agg(
         F.max(F.when(F.col("t").rlike(r"(?i)^FROM\s+\S+"), F.col("line_no"))).alias("line_no"),
         F.max(F.when((user != "") & ~user.isin("0", "root"), F.col("line_no"))).alias("user_at"),
     )
@@ -125,4 +128,4 @@ def audit(files: DataFrame, key: str = "file_id") -> DataFrame:
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out.distinct()

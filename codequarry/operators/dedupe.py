@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import blank_to_null, forward_slashes
+from codequarry.operators.confidence import level
 
 BUCKET = 5
 # The order of analyzers and severities, the titles that say nothing of the cause.
@@ -45,7 +46,8 @@ def merge_duplicates(findings: DataFrame, within: str = "scan_id", precise: bool
 
     The best analyzer, then the highest confidence, then the least id wins and gives the plain columns. Severity
     and confidence are the highest of the group; explanatory texts are the first that say anything, in that order;
-    ``merged`` counts the group. Null confidences rank last. Repeated rows count once.
+    ``merged`` counts the group; ``transforms``, where the rows have that column, is the union of its lists (of a few
+    steps each), sorted. Null confidences rank last. Repeated rows count once.
 
     All of it is done by partial aggregates of one row's size (``max_by`` over an order key), so a fingerprint
     that a third of all rows share is folded before the shuffle and never collected.
@@ -54,6 +56,9 @@ def merge_duplicates(findings: DataFrame, within: str = "scan_id", precise: bool
     best = F.struct(
         (-_ranked(F.col("analyzer"), ANALYZER_RANK)).alias("a"), (-F.coalesce("confidence", F.lit(-1))).alias("b"), F.col("id").alias("c")
     )
+    gathered = []
+    if "transforms" in findings.columns:  # before the sink, steps between source and sink are a list
+        gathered = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("transforms")))).alias("transforms")]
     winner = ["id", "rule_id", "category", "title", "description", "file_path", "line_number", "cwe", "language", "analyzer", "dependency_name", "advisory_id"]
     truthy = [F.min_by(blank_to_null(F.col(c)), F.when(blank_to_null(F.col(c)).isNotNull(), best)).alias(c) for c in FIRST_TRUTHY]
     telling = F.when(~F.col("title").isin(GENERIC_TITLES), best)
@@ -65,6 +70,7 @@ def merge_duplicates(findings: DataFrame, within: str = "scan_id", precise: bool
         F.min_by(F.struct("patch_text", "patch_available"), F.when(blank_to_null(F.col("patch_text")).isNotNull(), best)).alias("patch"),
         F.count_distinct("id").alias("merged"),
         *truthy,
+        *gathered,
     )
     severity = F.coalesce(*[F.when(F.col("severity_rank") == v, F.lit(k)) for k, v in SEVERITY_RANK.items()], F.lit("info"))
     generic = F.col("w.title").isin(GENERIC_TITLES) & F.col("telling_title").isNotNull() & (F.coalesce("w.category", F.lit("quality")) == "quality")
@@ -76,7 +82,14 @@ def merge_duplicates(findings: DataFrame, within: str = "scan_id", precise: bool
         F.when(generic, F.col("telling_title")).otherwise(F.col("w.title")).alias("title"),
         severity.alias("severity"),
         "confidence",
+        level(F.coalesce("confidence", F.lit(0))).alias("confidence_level"),
         "merged",
         F.col("patch.patch_text").alias("patch_text"),
         *FIRST_TRUTHY,
+        *(["transforms"] if gathered else []),
     )
+
+
+def in_order(merged: DataFrame) -> DataFrame:
+    """Merged findings by file, line and fingerprint; findings without a file come first, as a range-partitioned sort."""
+    return merged.orderBy(F.coalesce("file_path", F.lit("")), F.coalesce("line_number", F.lit(0)), "fingerprint")

@@ -117,6 +117,42 @@ def projection(findings: DataFrame) -> DataFrame:
     )
 
 
+#: The columns of a response, in their order; the patch and the link are made.
+RESPONSE = """id scan_id severity title description file_path line_number rule_id category column_number end_line code_snippet cwe language analyzer
+confidence confidence_level why_risky impact remediation fix_example source_label sink_label data_flow_text evidence patch_available fingerprint
+dependency_name dependency_version fixed_version advisory_id secret_type redacted_value""".split()
+VIEWS = {
+    "secret": ("secret_scanner", "id secret_type redacted_value severity file_path line_number confidence evidence".split()),
+    "iac": ("iac", "id rule_id title severity file_path line_number evidence remediation".split()),
+}
+
+
+def parsed_patch(text: Column) -> Column:
+    """The patch of a finding; null where there is none or its JSON is cut off."""
+    patch = F.from_json(text, PATCH)
+    return F.when(patch["file_path"].isNotNull(), patch)
+
+
+def details(repositories: DataFrame, scans: DataFrame, findings: DataFrame, host: str = HOST) -> DataFrame:
+    """Every finding as a response shows it: all its columns, the parsed ``patch``, and ``source_url``, null where no link can be made."""
+    links = source_links(repositories, scans, findings, host).withColumnsRenamed({"finding_id": "id", "url": "source_url"})
+    rows = distinct_findings(findings, *[c for c in RESPONSE if c != "id"], "patch_text")
+    return rows.join(links, "id", "left").select(*RESPONSE, parsed_patch(F.col("patch_text")).alias("patch"), "source_url")
+
+
+def view(findings: DataFrame, kind: str) -> DataFrame:
+    """The findings of one analyzer with the columns its view shows; ``kind`` is ``secret`` or ``iac``."""
+    analyzer, columns = VIEWS[kind]
+    return distinct_findings(findings.where(F.col("analyzer") == analyzer), *[c for c in columns if c != "id"])
+
+
+def remediation_view(findings: DataFrame) -> DataFrame:
+    """``finding_id``, the explaining texts and the parsed patch of every finding."""
+    texts = ["why_risky", "impact", "remediation", "fix_example", "patch_available"]
+    rows = distinct_findings(findings, *texts, "patch_text")
+    return rows.select(F.col("id").alias("finding_id"), *texts, parsed_patch(F.col("patch_text")).alias("patch"))
+
+
 def rendered_flow(steps: Column) -> Column:
     """Data-flow steps, an array of ``label, line``, as one text."""
     return F.array_join(F.transform(steps, lambda s: F.concat(s["label"], F.lit(" (line "), s["line"], F.lit(")"))), " → ")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codequarry.functions.text import split_lines
+
 PY, JS, JAVA, GO = ["py"], ["js", "jsx", "ts", "tsx"], ["java"], ["go"]
 
 
@@ -50,6 +54,8 @@ RULES = [
 ]
 #: Where the structural analyzers do better, these are left to them.
 LEFT_TO_ANALYZERS = {RULES[1].title, RULES[7].title, RULES[8].title}
+#: The word that suppressing comments begin with.
+MARK = "pragma"
 WEAK_HASH = r"(?i)hashlib\s*\.\s*(md5|sha1)\s*\("
 
 
@@ -62,26 +68,49 @@ def generic_hits(lines: DataFrame, key: str = "file_id") -> DataFrame:
             wanted = wanted & ~F.col("extension").isin(PY + JS)
         hits.append(F.when(wanted & F.col("line").rlike(r.pattern), F.struct(F.lit(r.title).alias("title"), F.lit(r.severity).alias("severity"))))
     found = lines.withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
-    return found.select(key, "path", "line_no", "hit.title", "hit.severity", F.trim("line").alias("snippet"))
+    return found.select(key, "path", "line_no", "hit.title", "hit.severity", F.trim("line").alias("snippet")).distinct()
+
+
+def count_hits(text: Column, extension: Column) -> Column:
+    """How often the line rules match in a text: what re-analysing a patched text counts. Null texts give null."""
+
+    def count(rule: Rule) -> Column:
+        matching = F.size(F.filter(split_lines(text), lambda line: line.rlike(rule.pattern)))
+        return F.when(F.coalesce(extension.isin(rule.extensions), F.lit(False)), matching).otherwise(0) if rule.extensions else matching
+
+    return F.when(text.isNotNull(), reduce(add, map(count, RULES)))
 
 
-def weak_hashes(lines: DataFrame, key: str = "file_id") -> DataFrame:
-    """``key, path, line_no, algorithm`` of MD5 and SHA-1 calls in Python files."""
+def weak_hashes(lines: DataFrame, parsing: DataFrame | None = None, key: str = "file_id") -> DataFrame:
+    """``key, path, line_no, algorithm`` of MD5 and SHA-1 calls in Python files; with ``parsing`` only in files whose key it has."""
     name = F.lower(F.regexp_extract("line", WEAK_HASH, 1))
-    return lines.where((F.col("extension") == "py") & F.col("line").rlike(WEAK_HASH)).select(key, "path", "line_no", name.alias("algorithm"))
+    hit = (F.col("extension") == "py") & F.col("line").rlike(WEAK_HASH) & ~is_suppressed(F.col("line"), "CRY001")
+    found = lines.where(hit).select(key, "path", "line_no", name.alias("algorithm")).distinct()
+    return found if parsing is None else found.join(parsing.select(key).distinct(), key, "left_semi")
 
 
 def near(flag: Column, key: str, before: int, after: int) -> Column:
     """Whether any line from ``before`` lines back to ``after`` lines on has the flag; lines are numbered without gaps."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(-before, after)
+    w = Window.partitionBy(key, "copy_no").orderBy("line_no").rowsBetween(-before, after)
     return F.coalesce(F.max(flag).over(w), F.lit(False))
 
 
-def suppressions(lines: DataFrame, key: str = "file_id", mark: str = "audit") -> DataFrame:
-    """``key, line_no, rule_id, reason`` of the comments ``<mark>: ignore RULE [reason: ...]``."""
-    pattern = rf"(?i)(?:#|//|/\*|<!--)\s*{mark}:\s*ignore\s+([A-Z0-9_]+)(?:\s+reason:\s*(.+?))?(?:\s*-->|\s*\*/)?$"
+def suppression(mark: str = MARK) -> str:
+    """The pattern of the comments ``<mark>: ignore RULE [reason: ...]``."""
+    return rf"(?i)(?:#|//|/\*|<!--)\s*{mark}:\s*ignore\s+([A-Z0-9_]+)(?:\s+reason:\s*(.+?))?(?:\s*-->|\s*\*/)?$"
+
+
+def is_suppressed(line: Column, rule: Column | str, mark: str = MARK) -> Column:
+    """Whether a line's own comment suppresses a rule on it. The other rules of the line still apply."""
+    return F.upper(F.regexp_extract(line, suppression(mark), 1)) == (F.lit(rule) if isinstance(rule, str) else rule)
+
+
+def suppressions(lines: DataFrame, key: str = "file_id", mark: str = MARK) -> DataFrame:
+    """``key, line_no, rule_id, reason`` of the comments that suppress a rule, known or not."""
+    pattern = suppression(mark)
     reason = F.nullif(F.trim(F.regexp_extract("line", pattern, 2)), F.lit(""))
-    return lines.where(F.col("line").rlike(pattern)).select(key, "line_no", F.upper(F.regexp_extract("line", pattern, 1)).alias("rule_id"), reason.alias("reason"))
+    rule = F.upper(F.regexp_extract("line", pattern, 1))
+    return lines.where(F.col("line").rlike(pattern)).select(key, "line_no", rule.alias("rule_id"), reason.alias("reason")).distinct()
 
 
 def without_suppressed(hits: DataFrame, suppressed: DataFrame, key: str = "file_id") -> DataFrame:
@@ -91,5 +120,5 @@ def without_suppressed(hits: DataFrame, suppressed: DataFrame, key: str = "file_
 
 def previous_value(value: Column, key: str, back: int = 15) -> Column:
     """The last non-null ``value`` of the at most ``back`` lines before a line: an as-of join as a row frame."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(-back, -1)
+    w = Window.partitionBy(key, "copy_no").orderBy("line_no").rowsBetween(-back, -1)
     return F.last(value, ignorenulls=True).over(w)

@@ -9,9 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.functions.text import split_lines
+from codequarry.operators.linerules import is_suppressed
+
 # Request attributes, sanitizers, sinks, names of secrets, placeholders.
 SOURCES = set("query_params body form headers cookies data json args values files path_params GET POST".split())
-SANITIZERS = "escape quote sanitize clean parameterize validate allowlist whitelist".split()
+SANITIZERS = """escape quote sanitize sanitize_html clean bleach.clean html.escape markupsafe.escape shlex.quote urllib.parse.quote re.escape
+parameterize validate allowlist whitelist""".split()
 SINKS = {
     "eval": "PY001", "compile": "PY001", "exec": "PY002", "subprocess.run": "PY003", "subprocess.call": "PY003", "subprocess.Popen": "PY003",
     "subprocess.check_output": "PY003", "os.system": "PY004", "os.popen": "PY004", "pickle.loads": "PY007", "pickle.load": "PY007", "yaml.load": "PY008",
@@ -97,7 +101,10 @@ def analyze(source: str) -> list[tuple]:
 
 
 def flows(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """``key, path, line_no, rule_id, severity, tainted, sanitized`` over the Python files; repeated rows count once."""
+    """``key, path, line_no, rule_id, severity, tainted, sanitized`` over the Python files; repeated rows count once.
+
+    A hit whose rule its line suppresses is left out.
+    """
 
     @F.pandas_udf(HITS)
     def found(content: pd.Series) -> pd.Series:
@@ -105,4 +112,25 @@ def flows(files: DataFrame, key: str = "file_id") -> DataFrame:
         return pd.Series([[dict(zip(names, h)) for h in analyze(c)] for c in content], dtype=object)
 
     py = files.where(F.col("content").isNotNull() & F.lower("relative_path").endswith(".py")).select(key, F.col("relative_path").alias("path"), "content")
-    return py.select(key, "path", F.explode(found("content")).alias("h")).select(key, "path", "h.*").distinct()
+    line = F.get(split_lines(F.col("content")), F.col("h.line_no") - 1)
+    hits = py.select(key, "path", "content", F.explode(found("content")).alias("h"))
+    return hits.where(~is_suppressed(F.coalesce(line, F.lit("")), F.col("h.rule_id"))).select(key, "path", "h.*").distinct()
+
+
+def parsing(files: DataFrame, key: str = "file_id") -> DataFrame:
+    """``key`` of the Python files that parse."""
+
+    @F.pandas_udf("boolean")
+    def parses(content: pd.Series) -> pd.Series:
+        return content.map(_parses)
+
+    py = files.where(F.col("content").isNotNull() & F.lower("relative_path").endswith(".py"))
+    return py.where(parses("content")).select(key).distinct()
+
+
+def _parses(source: str) -> bool:
+    try:
+        ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return False
+    return True

@@ -43,6 +43,18 @@ def review_context(findings: DataFrame, limit: int = LIMIT) -> DataFrame:
     ).distinct()
 
 
+REVIEWS = """id string, finding_id string, request_hash string, analysis_version string, verdict string, confidence double, exploitability double,
+explanation string, provider string, model string, created_at timestamp"""
+
+
+def write_reviews(reviews: DataFrame, path: str, buckets: int = 16) -> None:
+    """Appends reviews of the columns :data:`REVIEWS`, missing ones as null, in buckets by finding; a repeated review is folded when read."""
+    spark = reviews.sparkSession
+    rows = spark.createDataFrame([], REVIEWS).unionByName(reviews, allowMissingColumns=True)
+    bucket = F.pmod(F.xxhash64("finding_id"), F.lit(buckets)).cast("int")
+    rows.withColumn("finding_bucket", bucket).write.mode("append").partitionBy("finding_bucket").parquet(path)
+
+
 def latest_reviews(reviews: DataFrame) -> DataFrame:
     """The last review of each finding, hash and version, by ``created_at``, then id."""
     keys = ["finding_id", "request_hash", "analysis_version"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codequarry.functions.redaction import redact, redaction_count
 from codequarry.functions.urls import canonical_url
 from codequarry.functions.versions import is_older
-from codequarry.operators import advisories, confidence, config_audit, dedupe, findings, imports, linerules, patches, pyflow, pyquality, review, scripts, snapshots, summary
+from codequarry.operators import advisories, confidence, config_audit, dedupe, findings, imports, linerules, patches, pyflow, pyquality, remediation, review, scripts, snapshots, summary
 from codequarry.sources import files, manifests
 from codequarry.sources.tables import table
 
@@ -114,6 +114,46 @@ def finding_projection(spark, root):
     return findings.projection(table(spark, root, "findings"))
 
 
+@query
+def finding_details(spark, root):
+    rows = findings.details(*_tables(spark, root, "repositories", "scans", "findings"), host=HOST)
+    fields = ("file_path", "start_line", "end_line", "original", "replacement", "reason")
+    return rows.select("*", *[F.col(f"patch.{c}").alias(f"patch_{c}") for c in fields]).drop("patch")
+
+
+@query
+def secret_view(spark, root):
+    return findings.view(table(spark, root, "findings"), "secret")
+
+
+@query
+def iac_view(spark, root):
+    return findings.view(table(spark, root, "findings"), "iac")
+
+
+@query
+def remediation_view(spark, root):
+    rows = findings.remediation_view(table(spark, root, "findings"))
+    return rows.select("*", F.col("patch.original").alias("patch_original"), F.col("patch.replacement").alias("patch_replacement")).drop("patch")
+
+
+@query
+def flow_texts(spark, root):
+    """Source and sink of a finding, where both are named, as one text."""
+    rows = table(spark, root, "findings", "id", "source_label", "sink_label", "line_number").where("source_label is not null and sink_label is not null").distinct()
+    line = F.coalesce("line_number", F.lit(0)).alias("line")
+    steps = F.array(F.struct(F.col("source_label").alias("label"), line), F.struct(F.col("sink_label").alias("label"), line))
+    return rows.select("id", findings.rendered_flow(steps).alias("flow"))
+
+
+@query
+def remediated_findings(spark, root):
+    """Texts that findings lack, from the findings of the same rule that have them, and safe patches."""
+    cols = ["id", "rule_id", *remediation.TEXTS, "patch_available", "line_number", "code_snippet"]
+    rows = table(spark, root, "findings", *cols).where("id is not null").distinct()
+    return remediation.remediated(rows, remediation.rule_texts(rows)).drop("code_snippet")
+
+
 @query
 def source_links(spark, root):
     return findings.source_links(*_tables(spark, root, "repositories", "scans", "findings"), host=HOST)
@@ -190,8 +230,8 @@ def fingerprints(spark, root):
 
 @query
 def merged_findings(spark, root):
-    cols = ["scan_id", "fingerprint", "id", "rule_id", "title", "severity", "confidence", "merged", "evidence", "code_snippet", "source_label"]
-    return dedupe.merge_duplicates(table(spark, root, "findings")).select(cols)
+    cols = ["scan_id", "fingerprint", "id", "rule_id", "title", "severity", "confidence", "confidence_level", "merged", "evidence", "code_snippet", "source_label"]
+    return dedupe.in_order(dedupe.merge_duplicates(table(spark, root, "findings"))).select(cols)
 
 
 @query
@@ -225,11 +265,10 @@ def redacted_snippets(spark, root):
 
 @query
 def patch_status(spark, root):
-    rows = table(spark, root, "findings", "id", "code_snippet", "patch_text").where("patch_text is not null").distinct()
-    parsed = rows.select("id", F.col("code_snippet").alias("content"), F.from_json("patch_text", findings.PATCH).alias("p"))
-    checked = patches.verified(
-        parsed.select("id", "content", F.col("p.original").alias("original"), F.col("p.replacement").alias("replacement")), lambda c: F.regexp_count(c, F.lit(r"\w+\("))
-    )
+    """Patches checked by running the line rules over the snippet before and after."""
+    rows = table(spark, root, "findings", "id", "code_snippet", "patch_text", "file_path").where("patch_text is not null").distinct()
+    parsed = rows.select("id", F.col("code_snippet").alias("content"), F.from_json("patch_text", findings.PATCH).alias("p"), files.extension_of(F.coalesce("file_path", F.lit(""))).alias("ext"))
+    checked = patches.verified(parsed.select("id", "content", "ext", F.col("p.original").alias("original"), F.col("p.replacement").alias("replacement")), lambda c: linerules.count_hits(c, F.col("ext")))
     return checked.groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -250,12 +289,13 @@ def languages_found(spark, root):
 
 
 def _lines(spark, root):
-    return files.lines(table(spark, root, "source_files", "file_id", "relative_path", "content"))
+    return files.delivered_lines(table(spark, root, "source_files", "file_id", "relative_path", "content"))
 
 
 @query
 def line_counts(spark, root):
-    return _lines(spark, root).groupBy("file_id").agg(F.max("line_no").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    each = _lines(spark, root).groupBy("file_id", "copy_no").agg(F.max("line_no").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+    return each.groupBy("file_id").agg(F.max("n_lines").alias("n_lines"), F.max("n_chars").alias("n_chars"))
 
 
 @query
@@ -265,22 +305,24 @@ def line_rule_hits(spark, root):
 
 @query
 def weak_hashes(spark, root):
-    return linerules.weak_hashes(_lines(spark, root)).select("file_id", "line_no", "algorithm")
+    parsing = pyflow.parsing(table(spark, root, "source_files", "file_id", "relative_path", "content"))
+    return linerules.weak_hashes(_lines(spark, root), parsing).select("file_id", "line_no", "algorithm")
 
 
 @query
 def nearby_context(spark, root):
     js = scripts.script_lines(_lines(spark, root))
     source = F.col("line").rlike(scripts.SOURCES)
-    flags = js.select("file_id", *[linerules.near(source, "file_id", a, b).alias(n) for n, a, b in (("near", 8, 8), ("wide", 30, 30), ("back", 15, 2))])
-    return flags.groupBy("file_id").agg(*[F.count(F.when(F.col(n), 1)).alias(f"n_{n}") for n in ("near", "wide", "back")])
+    flags = js.select("file_id", "copy_no", *[linerules.near(source, "file_id", a, b).alias(n) for n, a, b in (("near", 8, 8), ("wide", 30, 30), ("back", 15, 2))])
+    each = flags.groupBy("file_id", "copy_no").agg(*[F.count(F.when(F.col(n), 1)).alias(f"n_{n}") for n in ("near", "wide", "back")])
+    return each.groupBy("file_id").agg(*[F.max(f"n_{n}").alias(f"n_{n}") for n in ("near", "wide", "back")])
 
 
 @query
 def previous_assignment(spark, root):
     js = scripts.script_lines(_lines(spark, root))
     name = F.nullif(F.regexp_extract("line", r"^\s*(?:const|let|var)\s+(\w+)\s*=", 1), F.lit(""))
-    return js.select("file_id", "line_no", linerules.previous_value(name, "file_id").alias("assigned")).where("assigned is not null")
+    return js.select("file_id", "line_no", linerules.previous_value(name, "file_id").alias("assigned")).where("assigned is not null").distinct()
 
 
 @query
@@ -371,6 +413,11 @@ def import_edges(spark, root):
     return imports.import_edges(table(spark, root, "source_files", "repository_id", "relative_path", "content"))
 
 
+@query
+def unused_imports(spark, root):
+    return imports.unused_imports(table(spark, root, "source_files", "repository_id", "relative_path", "content"))
+
+
 @query
 def import_components(spark, root):
     return imports.import_components(import_edges(spark, root))

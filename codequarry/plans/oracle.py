@@ -115,7 +115,7 @@ EDGES = rf"""py AS MATERIALIZED (SELECT DISTINCT repository_id, {MODULE} AS src,
   m AS (SELECT DISTINCT repository_id, src AS dst FROM py),
   il AS (SELECT repository_id, src, unnest(regexp_split_to_array(content, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS line FROM py WHERE content IS NOT NULL),
   im AS (SELECT DISTINCT repository_id, src, regexp_matches(line, '^\s*from\s+(\.*)([\w.]*)\s+import\b') AS is_from, length(regexp_extract(line, '^\s*from\s+(\.*)([\w.]*)\s+import\b', 1)) AS dots,
-    regexp_extract(line, '^\s*from\s+(\.*)([\w.]*)\s+import\b', 2) AS tail, regexp_extract(line, '^\s*import\s+([\w.]+)', 1) AS plain
+    regexp_extract(line, '^\s*from\s+(\.*)([\w.]*)\s+import\b', 2) AS tail, unnest([regexp_extract(x, '^\s*([\w.]+)', 1) FOR x IN string_split(regexp_extract(line, '^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)', 1), ',')]) AS plain
     FROM il WHERE regexp_matches(line, '^\s*from\s+(\.*)([\w.]*)\s+import\b|^\s*import\s+([\w.]+)')),
   tg AS (SELECT DISTINCT repository_id, src, CASE WHEN NOT is_from THEN plain WHEN dots = 0 THEN tail ELSE base || CASE WHEN base <> '' AND tail <> '' THEN '.' ELSE '' END || tail END AS target
     FROM (SELECT *, array_to_string(string_split(src, '.')[:greatest(len(string_split(src, '.')) - dots, 0)], '.') AS base FROM im)),
@@ -124,7 +124,20 @@ EDGES = rf"""py AS MATERIALIZED (SELECT DISTINCT repository_id, {MODULE} AS src,
   e AS MATERIALIZED (SELECT DISTINCT repository_id, src, dst FROM (SELECT px.repository_id, px.src, px.target, arg_max(px.dst, length(px.dst)) AS dst
     FROM px JOIN m ON m.repository_id = px.repository_id AND m.dst = px.dst GROUP BY 1, 2, 3))"""
 
-SUPPRESSED = r"(?i)(?:#|//|/\*|<!--)\s*audit:\s*ignore\s+([A-Z0-9_]+)(?:\s+reason:\s*(.+?))?(?:\s*-->|\s*\*/)?$"
+SUPPRESSED = r"(?i)(?:#|//|/\*|<!--)\s*pragma:\s*ignore\s+([A-Z0-9_]+)(?:\s+reason:\s*(.+?))?(?:\s*-->|\s*\*/)?$"
+
+
+def _patch(field: str) -> str:
+    return f"CASE WHEN json_valid(patch_text) THEN CASE WHEN patch_text ->> '$.file_path' IS NOT NULL THEN patch_text ->> '$.{field}' END END"
+
+
+def _count_hits(column: str) -> str:
+    """How often line rules match in the text of a column, by the extension ``ext``."""
+    lines, parts = rf"regexp_split_to_array({column}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')", []
+    for r in linerules.RULES:
+        n = f"len([x FOR x IN {lines} IF regexp_matches(x, {q(r.pattern)})])"
+        parts.append(f"CASE WHEN ext IN {_in(r.extensions)} THEN {n} ELSE 0 END" if r.extensions else n)
+    return "(" + " + ".join(parts) + ")"
 
 
 def _sinks() -> str:
@@ -187,6 +200,23 @@ SQL: dict[str, str] = {
         CASE WHEN json_valid(patch_text) THEN patch_text ->> '$.file_path' END AS patch_file,
         CASE WHEN json_valid(patch_text) THEN CAST(patch_text ->> '$.start_line' AS INTEGER) END AS patch_start,
         CASE WHEN json_valid(patch_text) THEN patch_text ->> '$.replacement' END AS patch_replacement FROM findings""",
+    "finding_details": "",
+    "secret_view": """SELECT DISTINCT id, secret_type, redacted_value, severity, file_path, line_number, confidence, evidence FROM findings
+        WHERE analyzer = 'secret_scanner' AND id IS NOT NULL""",
+    "iac_view": """SELECT DISTINCT id, rule_id, title, severity, file_path, line_number, evidence, remediation FROM findings
+        WHERE analyzer = 'iac' AND id IS NOT NULL""",
+    "remediation_view": f"""SELECT DISTINCT id AS finding_id, why_risky, impact, remediation, fix_example, patch_available,
+        {_patch('original')} AS patch_original, {_patch('replacement')} AS patch_replacement FROM findings WHERE id IS NOT NULL""",
+    "flow_texts": """SELECT DISTINCT id, source_label || ' (line ' || coalesce(line_number, 0) || ') → ' || sink_label || ' (line ' || coalesce(line_number, 0) || ')' AS flow
+        FROM findings WHERE source_label IS NOT NULL AND sink_label IS NOT NULL""",
+    "remediated_findings": r"""WITH f AS (SELECT DISTINCT id, rule_id, why_risky, impact, remediation, fix_example, cwe, patch_available, line_number, code_snippet FROM findings WHERE id IS NOT NULL),
+        r AS (SELECT rule_id, arg_min(why_risky, id) FILTER (why_risky <> '') AS w, arg_min(impact, id) FILTER (impact <> '') AS i, arg_min(remediation, id) FILTER (remediation <> '') AS m,
+          arg_min(fix_example, id) FILTER (fix_example <> '') AS x, arg_min(cwe, id) FILTER (cwe <> '') AS c FROM f WHERE rule_id IS NOT NULL GROUP BY rule_id),
+        j AS (SELECT f.*, w, i, m, x, c, CASE WHEN NOT coalesce(patch_available, false) AND line_number > 0 AND f.rule_id = 'PY008' AND regexp_matches(code_snippet, '^(\s*.*)yaml\.load\(([^,)]+)\)(.*)')
+          THEN regexp_replace(code_snippet, '^(\s*.*)yaml\.load\(([^,)]+)\)(.*)', '\1yaml.safe_load(\2)\3') END AS made FROM f LEFT JOIN r USING (rule_id))
+        SELECT id, rule_id, coalesce(nullif(why_risky, ''), w) AS why_risky, coalesce(nullif(impact, ''), i) AS impact, coalesce(nullif(remediation, ''), m) AS remediation,
+          coalesce(nullif(fix_example, ''), x) AS fix_example, coalesce(nullif(cwe, ''), c) AS cwe, line_number, coalesce(patch_available, false) OR made IS NOT NULL AS patch_available,
+          CASE WHEN made IS NOT NULL THEN code_snippet END AS patch_original, made AS patch_replacement FROM j""",
     "canonical_urls": f"SELECT DISTINCT id, {CANON} || '.git' AS canonical FROM repositories",
     "source_links": rf"""WITH {CURRENT}, f AS (SELECT DISTINCT id, scan_id, file_path, line_number, end_line FROM findings),
         x AS (SELECT f.id AS finding_id, {CANON} AS base, trim(coalesce(commit_sha, branch)) AS ref, line_number AS a, end_line AS b,
@@ -226,7 +256,7 @@ SQL: dict[str, str] = {
           {", ".join(f"first({c} ORDER BY rank DESC, coalesce(confidence, -1) DESC, id) FILTER ({c} <> '') AS {c}" for c in ("evidence", "code_snippet", "source_label"))}
           FROM d GROUP BY scan_id, fp)
         SELECT scan_id, fp AS fingerprint, id, rule_id, CASE WHEN title IN {_in(GENERIC_TITLES)} AND telling IS NOT NULL AND coalesce(category, 'quality') = 'quality' THEN telling ELSE title END AS title,
-          CASE sr {" ".join(f"WHEN {v} THEN '{k}'" for k, v in SEVERITY_RANK.items())} ELSE 'info' END AS severity, confidence, merged, evidence, code_snippet, source_label FROM g""",
+          CASE sr {" ".join(f"WHEN {v} THEN '{k}'" for k, v in SEVERITY_RANK.items())} ELSE 'info' END AS severity, confidence, CASE WHEN confidence >= 80 THEN 'high' WHEN confidence >= 50 THEN 'medium' ELSE 'low' END AS confidence_level, merged, evidence, code_snippet, source_label FROM g""",
     "rule_enrichment": """WITH r AS (SELECT rule_id, arg_min(base_confidence, rule_no) AS b, arg_min({'x': cwe}, rule_no).x AS cwe, arg_min({'x': language}, rule_no).x AS language
           FROM rule_registry WHERE rule_id IS NOT NULL GROUP BY rule_id),
         f AS (SELECT DISTINCT id, rule_id, cwe, language, confidence FROM findings)
@@ -239,11 +269,13 @@ SQL: dict[str, str] = {
           + CASE WHEN analyzer IN ('ast', 'dataflow') THEN 10 WHEN analyzer IS NULL THEN 0 ELSE -15 END)) AS INTEGER) AS score FROM f LEFT JOIN r USING (rule_id))
         SELECT id, score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS level FROM s""",
     "review_hashes": f"SELECT DISTINCT id AS finding_id, sha256({_redacted(f'substr({REVIEW}, 1, 12000)')} || chr(10) || 'version=1') AS request_hash FROM findings",
-    "redacted_snippets": rf"""SELECT code_snippet, redacted, CAST(len(regexp_extract_all(redacted, '\[REDACTED_(?:DB_URL|KEY|TOKEN|PASSWORD|SECRET)\]')) AS INTEGER) AS n_redacted
+    "redacted_snippets": rf"""SELECT code_snippet, redacted, CAST(len(regexp_extract_all(redacted, '\[REDACTED_[A-Z_]+\]')) AS INTEGER) AS n_redacted
         FROM (SELECT code_snippet, {_redacted("code_snippet")} AS redacted FROM (SELECT DISTINCT code_snippet FROM findings WHERE code_snippet IS NOT NULL))""",
-    "patch_status": r"""WITH p AS (SELECT DISTINCT id, code_snippet AS c, CASE WHEN json_valid(patch_text) THEN patch_text ->> '$.original' END AS o,
-          CASE WHEN json_valid(patch_text) THEN patch_text ->> '$.replacement' END AS r, patch_text FROM findings WHERE patch_text IS NOT NULL),
-        a AS (SELECT len(regexp_extract_all(c, '\w+\(')) AS n0, CASE WHEN instr(c, o) > 0 THEN len(regexp_extract_all(substr(c, 1, instr(c, o) - 1) || r || substr(c, instr(c, o) + length(o)), '\w+\(')) END AS n1 FROM p)
+    "patch_status": rf"""WITH p AS (SELECT DISTINCT id, code_snippet AS c, CASE WHEN json_valid(patch_text) THEN patch_text ->> '$.original' END AS o,
+          CASE WHEN json_valid(patch_text) THEN patch_text ->> '$.replacement' END AS r, patch_text, lower(regexp_extract(coalesce(file_path, ''), '\.([^./\\]+)$', 1)) AS ext
+          FROM findings WHERE patch_text IS NOT NULL),
+        b AS (SELECT *, CASE WHEN instr(c, o) > 0 THEN substr(c, 1, instr(c, o) - 1) || r || substr(c, instr(c, o) + length(o)) END AS after FROM p),
+        a AS (SELECT CASE WHEN c IS NOT NULL THEN {_count_hits("c")} END AS n0, CASE WHEN after IS NOT NULL THEN {_count_hits("after")} END AS n1 FROM b)
         SELECT CASE WHEN n1 IS NULL OR n1 >= n0 THEN 'failed' WHEN n1 = 0 THEN 'verified' ELSE 'partially_verified' END AS status, count(*) AS n FROM a GROUP BY 1""",
     "classified_files": rf"""WITH d AS (SELECT DISTINCT file_id, replace(relative_path, '\', '/') AS path, content, coalesce(is_binary, false) AS bin FROM source_files),
         x AS (SELECT *, {EXT} AS ext, upper(substr(content, 1, 1000)) AS head, regexp_split_to_array(content, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS a FROM d),
@@ -275,11 +307,12 @@ SQL: dict[str, str] = {
         SELECT file_id, 'SEC001' FROM l WHERE ext IN {JS} AND {_matches(scripts.SECRET)} UNION ALL
         SELECT file_id, 'QA003' FROM l WHERE ext IN {JS} AND NOT regexp_matches(trim(line), '^(//|\*)') AND ({_matches(scripts.DEBUGGER)} OR {_matches(scripts.CONSOLE)}))
         SELECT what, count(*) AS n, count(DISTINCT file_id) AS n_files FROM u GROUP BY what""",
-    "configuration_audit": rf"""WITH {LINES}, t AS (SELECT * FROM l WHERE ext = 'tf' AND NOT regexp_matches(trim(line), '^(#|//)'))
+    "configuration_audit": rf"""WITH {LINES}, t AS (SELECT * FROM l WHERE ext = 'tf' AND NOT regexp_matches(trim(line), '^(#|//)') AND NOT regexp_matches(path, '(^|/)(?:\.git|node_modules|\.venv|venv|__pycache__|\.next|dist|build|target|\.tox)/'))
         SELECT file_id, line_no, 'IAC012' AS rule_id, 'high' AS severity, 90 AS confidence FROM t WHERE {_matches(config_audit.OPEN_INGRESS)} UNION ALL
         SELECT file_id, line_no, 'IAC013', 'high', 80 FROM t WHERE {_matches(config_audit.TERRAFORM_SECRET)}
           AND NOT regexp_matches(regexp_extract(line, {q(config_audit.TERRAFORM_SECRET)}, 1), '^(\$\{{|var\.)')""",
-    "locked_dependencies": r"""WITH d AS (SELECT DISTINCT file_id, lower(string_split(replace(relative_path, '\', '/'), '/')[-1]) AS name, content FROM source_files WHERE content IS NOT NULL),
+    "locked_dependencies": r"""WITH d AS (SELECT DISTINCT file_id, lower(string_split(replace(relative_path, '\', '/'), '/')[-1]) AS name, content FROM source_files WHERE content IS NOT NULL
+          AND NOT regexp_matches(replace(relative_path, '\', '/'), '(^|/)(?:\.git|node_modules|\.venv|venv|__pycache__|\.next|dist|build|target|\.tox)/') AND len(string_split(replace(relative_path, '\', '/'), '/')) <= 4),
         n AS (SELECT file_id, unnest(map_entries(from_json(content, '{"packages":"MAP(VARCHAR, JSON)"}').packages)) AS e FROM d WHERE name = 'package-lock.json' AND json_valid(content)),
         g AS (SELECT file_id, unnest(regexp_split_to_array(content, '\r\n|\n')) AS line FROM d WHERE name = 'go.sum'),
         p AS (SELECT file_id, unnest(regexp_extract_all(content, '\[\[package\]\]\s*\r?\nname = "([^"]+)"\r?\nversion = "([^"]+)"')) AS b FROM d WHERE name = 'poetry.lock')
@@ -305,3 +338,6 @@ SQL: dict[str, str] = {
           WHERE e.dst > path[1] AND NOT list_contains(path, e.dst) AND len(path) < 4)
         SELECT DISTINCT p.repository_id, array_to_string(path, ' > ') AS members FROM p JOIN e ON e.repository_id = p.repository_id AND e.src = p.at AND e.dst = path[1]""",
 }
+SQL["finding_details"] = f"""SELECT f.* EXCLUDE (patch_text), url AS source_url, {_patch("file_path")} AS patch_file_path, CAST({_patch("start_line")} AS INTEGER) AS patch_start_line,
+    CAST({_patch("end_line")} AS INTEGER) AS patch_end_line, {_patch("original")} AS patch_original, {_patch("replacement")} AS patch_replacement, {_patch("reason")} AS patch_reason
+    FROM (SELECT DISTINCT * FROM findings WHERE id IS NOT NULL) f LEFT JOIN ({SQL["source_links"]}) l ON l.finding_id = f.id"""

@@ -97,10 +97,23 @@ def classified(files: DataFrame) -> DataFrame:
     return rows.select("file_id", "language", "generated", "minified", scannable.alias("scannable"))
 
 
+def delivered_lines(files: DataFrame, key: str = "file_id") -> DataFrame:
+    """``key, path, extension, copy_no, line_no, line`` (lines from 1); null and empty contents have no lines.
+
+    A row that is delivered again has its lines again, under another ``copy_no``: the operators fold what they find
+    in them, a few rows, so that contents are never shuffled to fold them.
+    """
+    path = forward_slashes(F.coalesce("relative_path", F.lit("")))
+    return _cut(files.where(F.col("content").isNotNull()).select(key, path.alias("path"), "content", F.monotonically_increasing_id().alias("copy_no")), key)
+
+
 def lines(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """``key, path, extension, line_no, line`` (from 1); null and empty contents have no lines. Repeated rows count once."""
+    """As :func:`delivered_lines`, but repeated rows count once: for lines that are wanted themselves. ``copy_no`` is 0."""
     path = forward_slashes(F.coalesce("relative_path", F.lit("")))
-    f = files.where(F.col("content").isNotNull()).select(key, path.alias("path"), "content").distinct()
-    return f.select(key, "path", extension_of(F.col("path")).alias("extension"), F.posexplode(split_lines(F.col("content"))).alias("p", "line")).select(
-        key, "path", "extension", (F.col("p") + 1).alias("line_no"), "line"
+    return _cut(files.where(F.col("content").isNotNull()).select(key, path.alias("path"), "content").distinct().withColumn("copy_no", F.lit(0).cast("long")), key)
+
+
+def _cut(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(key, "path", "copy_no", extension_of(F.col("path")).alias("extension"), F.posexplode(split_lines(F.col("content"))).alias("p", "line")).select(
+        key, "path", "extension", "copy_no", (F.col("p") + 1).alias("line_no"), "line"
     )

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.text import blank_to_null, forward_slashes, split_lines
 
+#: Folders without manifests of the project's own, and how deep manifests are looked for.
+IGNORED = r"(^|/)(?:\.git|node_modules|\.venv|venv|__pycache__|\.next|dist|build|target|\.tox)/"
+MOST_FOLDERS = 3
 NOT_A_VERSION = r"^(?:file:|link:|github:|git|workspace:|portal:|latest)"
 
 
 def _named(files: DataFrame, pattern: str) -> DataFrame:
-    name = F.lower(F.substring_index(forward_slashes("relative_path"), "/", -1))
-    return files.where(F.col("content").isNotNull() & name.rlike(pattern)).select("file_id", "content").distinct()
+    """Files whose name fits, at most three folders deep and not below folders of tools and results."""
+    path = forward_slashes(F.col("relative_path"))
+    name = F.lower(F.substring_index(path, "/", -1))
+    here = ~path.rlike(IGNORED) & (F.size(F.split(path, "/")) <= MOST_FOLDERS + 1)
+    return files.where(F.col("content").isNotNull() & here & name.rlike(pattern)).select("file_id", "content")
 
 
 def _row(name: Column, version: Column, ecosystem: str, direct: Column) -> list[Column]:

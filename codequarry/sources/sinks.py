@@ -20,6 +20,11 @@ def read_scan(spark: SparkSession, path: str, scan_id: str, buckets: int = 64) -
     return spark.read.parquet(path).where((F.col("scan_bucket") == bucket) & (F.col("scan_id") == scan_id)).drop("scan_bucket")
 
 
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Appends projects, repositories or users as they are; readers fold repeats by id."""
+    rows.write.mode("append").parquet(path)
+
+
 def append_state(spark: SparkSession, path: str, scan_id: str, status: str) -> None:
     """Adds one state to a scan's history; nothing is ever updated in place."""
     spark.range(1).select(F.lit(scan_id).alias("scan_id"), F.lit(status).alias("status"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)

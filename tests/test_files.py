@@ -47,7 +47,7 @@ def test_script_sinks_and_context(spark):
 
 
 def test_suppressed_rules(spark):
-    lines = files.lines(table(spark, files={"a.js": "eval(x) // audit: ignore js001 reason: known\neval(y)"}))
+    lines = files.lines(table(spark, files={"a.js": "eval(x) // pragma: ignore js001 reason: known\neval(y)"}))
     left = linerules.without_suppressed(scripts.sinks(lines), linerules.suppressions(lines))
     assert [r.line_no for r in left.collect()] == [2] and linerules.suppressions(lines).first().reason == "known"
 
