@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from codequarry.functions.text import blank_to_null, zero_to_null
 from codequarry.functions.urls import HOST, source_url
+from codequarry.operators.skew import join_hot
 
 # The category groups.
 SECURITY_CATEGORIES = """code_execution command_injection xss sql_injection path_traversal ssrf open_redirect deserialization secrets crypto
@@ -77,7 +78,7 @@ def owned_scans(projects: DataFrame, repositories: DataFrame, scans: DataFrame)
 def owned_findings(projects: DataFrame, repositories: DataFrame, scans: DataFrame, findings: DataFrame) -> DataFrame:
     """``user_id, repository_id, scan_id, finding_id`` up the whole chain; findings of unknown scans drop out."""
     f = findings.select(F.col("id").alias("finding_id"), "scan_id").distinct()
-    return f.join(owned_scans(projects, repositories, scans), "scan_id").select("user_id", "repository_id", "scan_id", "finding_id")
+    return join_hot(f, owned_scans(projects, repositories, scans), "scan_id", "finding_id").select("user_id", "repository_id", "scan_id", "finding_id")
 
 
 def repository_counts(projects: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -163,8 +164,9 @@ def source_links(repositories: DataFrame, scans: DataFrame, findings: DataFrame,
     f = distinct_findings(findings, "scan_id", "file_path", "line_number", "end_line")
     s = current_scans(scans).select(F.col("id").alias("scan_id"), "repository_id", F.coalesce("commit_sha", "branch").alias("ref"))
     r = repositories.select(F.col("id").alias("repository_id"), "url").distinct()
-    link = source_url(F.col("r.url"), F.col("file_path"), F.col("ref"), F.col("line_number"), F.col("end_line"), host)
-    return f.join(s, "scan_id").join(r.alias("r"), "repository_id").select(F.col("id").alias("finding_id"), link.alias("url")).where("url is not null")
+    link = source_url(F.col("url"), F.col("file_path"), F.col("ref"), F.col("line_number"), F.col("end_line"), host)
+    placed = join_hot(join_hot(f, s, "scan_id", "id"), r, "repository_id", "id")
+    return placed.select(F.col("id").alias("finding_id"), link.alias("url")).where("url is not null")
 
 
 def stored(findings: DataFrame) -> DataFrame:

@@ -20,6 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codequarry.operators.skew import join_hot
+from codequarry.session import written
+
 
 def value_hash(*values: Column) -> Column:
     """64-bit hash in which null is a value of its own (``xxhash64`` alone skips nulls)."""
@@ -145,7 +148,7 @@ def probe_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def snapshot_probes(scans: DataFrame, findings: DataFrame, buckets: int | None = None) -> DataFrame:
     """The columns of :func:`snapshot_changes` and ``held_by``, the snapshot whose entry was probed or removed."""
-    entries = index_entries(findings).join(snapshot_sequence(scans), "snapshot_id")
+    entries = join_hot(index_entries(findings), snapshot_sequence(scans), "snapshot_id", "key")
     count = buckets or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         entries.repartition(count, "owner", "key")  # a bucket is a partition
@@ -170,9 +173,9 @@ def changed_values(scans: DataFrame, findings: DataFrame, buckets: int | None =
     """The ``changed`` rows of :func:`snapshot_changes` with the structs ``old`` and ``new`` of the compared values.
 
     Values are fetched for the changed keys alone: the scan of the findings is cut down to them by a semi join
-    before anything is grouped. Should rows of one fingerprint disagree, the one with the least hash stands.
+    before anything is grouped; the keys are written to the shared folder once. Should rows of one fingerprint disagree, the one with the least hash stands.
     """
-    cases = snapshot_probes(scans, findings, buckets).where("change_type = 'changed'").drop("change_type")
+    cases = written(snapshot_probes(scans, findings, buckets).where("change_type = 'changed'").drop("change_type"))
     both = cases.select("fingerprint", F.explode(F.array("scan_id", "held_by")).alias("snapshot_id")).distinct()
     values = (
         _compared(findings)

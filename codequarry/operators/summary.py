@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from codequarry.functions.text import blank_to_null, zero_to_null
 from codequarry.operators.findings import SAST_CATEGORIES, distinct_findings, is_security
+from codequarry.operators.skew import join_hot
 
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 WEIGHTS = {"critical": 20, "high": 10, "medium": 4, "low": 1}
@@ -123,8 +124,8 @@ def risk_summary(findings: DataFrame) -> DataFrame:
 def fingerprint_diff(findings: DataFrame, pairs: DataFrame) -> DataFrame:
     """``old_scan, new_scan, n_new, n_resolved, n_unchanged`` over the distinct fingerprints of each pair of scans."""
     prints = findings.select("scan_id", F.lower(F.trim("fingerprint")).alias("fp")).where(F.col("fp") != "").distinct()
-    old = pairs.join(prints.withColumnRenamed("scan_id", "old_scan"), "old_scan").select("old_scan", "new_scan", "fp", F.lit(1).alias("side"))
-    new = pairs.join(prints.withColumnRenamed("scan_id", "new_scan"), "new_scan").select("old_scan", "new_scan", "fp", F.lit(2).alias("side"))
+    old = join_hot(prints.withColumnRenamed("scan_id", "old_scan"), pairs, "old_scan", "fp").select("old_scan", "new_scan", "fp", F.lit(1).alias("side"))
+    new = join_hot(prints.withColumnRenamed("scan_id", "new_scan"), pairs, "new_scan", "fp").select("old_scan", "new_scan", "fp", F.lit(2).alias("side"))
     sides = old.unionByName(new).groupBy("old_scan", "new_scan", "fp").agg(F.sum("side").alias("s"))
     return sides.groupBy("old_scan", "new_scan").agg(
         _count(F.col("s") == 2).alias("n_new"), _count(F.col("s") == 1).alias("n_resolved"), _count(F.col("s") == 3).alias("n_unchanged")

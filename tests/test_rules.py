@@ -189,3 +189,13 @@ def test_redactions_are_counted(spark, text, n):
     from codequarry.functions.redaction import redaction_count
 
     assert spark.range(1).select(redaction_count(F.lit(text)).alias("n")).first().n == n
+
+
+def test_join_of_a_hot_key(spark):
+    from codequarry.operators.skew import join_hot
+
+    large = spark.range(1000).select(F.col("id").alias("item"), F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("k"))
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("6", 3), (None, 4)], "k string, v int")
+    for how in ("inner", "left"):
+        want = sorted(map(str, large.join(small, "k", how).select("item", "k", "v").collect()))
+        assert sorted(map(str, join_hot(large, small, "k", "item", how).select("item", "k", "v").collect())) == want
