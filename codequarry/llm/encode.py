@@ -146,10 +146,10 @@ def merged_on_heap(word: str, ranks: dict[str, int]) -> list[int]:
 
 
 def _encoded_words(rare: DataFrame, ranks: Column, name: str, folder: str) -> DataFrame:
-    """``w, ids`` of the distinct words ``w``."""
-    distinct = rare.select("w").distinct().repartition(tasks(rare.sparkSession), "w")
-    folded = distinct.where(F.length("w") < LONG_WORD).select("w", F.struct(ranks.alias("ranks"), "w").alias("x")).select(
-        "w", _let(F.col("x"), lambda x: merged(x["ranks"], x["w"])).alias("ids")
+    """``w, ids`` of the distinct words ``w``; only here are words written as bytes."""
+    distinct = rare.select("w").distinct().repartition(tasks(rare.sparkSession), "w").select("w", byte_string(F.col("w")).alias("b"))
+    folded = distinct.where(F.length("b") < LONG_WORD).select("w", F.struct(ranks.alias("ranks"), "b").alias("x")).select(
+        "w", _let(F.col("x"), lambda x: merged(x["ranks"], x["b"])).alias("ids")
     )
 
     @F.pandas_udf("array<int>")
@@ -157,7 +157,7 @@ def _encoded_words(rare: DataFrame, ranks: Column, name: str, folder: str) -> Da
         known = vocabulary(name, folder)
         return words.map(lambda w: merged_on_heap(w, known))
 
-    return folded.unionByName(distinct.where(F.length("w") >= LONG_WORD).select("w", on_heap("w").alias("ids")))
+    return folded.unionByName(distinct.where(F.length("b") >= LONG_WORD).select("w", on_heap("b").alias("ids")))
 
 
 def tasks(spark: SparkSession) -> int:
@@ -171,19 +171,11 @@ def byte_string(text: Column) -> Column:
 
 
 def _cut(documents: DataFrame, key: str, text: str, name: str, folder: str) -> DataFrame:
-    """``k, words`` of every text: each word's place, and its id if it is a token, else its bytes."""
+    """``k, words, ids`` of every text: its words in order, and the id of each that is a token, else null."""
     ranks = rank_table(documents.sparkSession, name, folder, whole_words=True)
     cut = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
-    return documents.select(F.col(key).alias("k"), F.struct(ranks.alias("ranks"), cut.alias("cut")).alias("x")).select(
-        "k",
-        _let(
-            F.col("x"),
-            lambda x: F.transform(
-                x["cut"],
-                lambda w, i: _let(rank_of(x["ranks"], w), lambda r: F.struct(i.alias("at"), r.alias("id"), F.when(r.isNull(), byte_string(w)).alias("w"))),
-            ),
-        ).alias("words"),
-    )
+    words = documents.select(F.col(key).alias("k"), cut.alias("words")).select("k", "words", F.struct(ranks.alias("ranks"), "words").alias("x"))
+    return words.select("k", "words", _let(F.col("x"), lambda x: F.transform(x["words"], lambda w: rank_of(x["ranks"], w))).alias("ids"))
 
 
 def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, folder: str = VOCABULARIES) -> DataFrame:
@@ -194,11 +186,12 @@ def encode(documents: DataFrame, key: str, text: str, name: str = VOCABULARY, fo
     each, place and id, and the words that aren't tokens, whose distinct ones are encoded and then joined back.
     """
     ranks = rank_table(documents.sparkSession, name, folder)
+    at = lambda i: F.get("words", i)
     cut = written(
         _cut(documents, key, text, name, folder).select(
             "k",
-            F.transform(F.filter("words", lambda w: w["id"].isNotNull()), lambda w: w["at"].cast("long") * PLACE + w["id"]).alias("packed"),
-            F.transform(F.filter("words", lambda w: w["id"].isNull()), lambda w: F.struct(w["at"].alias("at"), w["w"].alias("w"))).alias("rare"),
+            F.array_compact(F.transform("ids", lambda r, i: i.cast("long") * PLACE + r)).alias("packed"),
+            F.array_compact(F.transform("ids", lambda r, i: F.when(r.isNull(), F.struct(i.alias("at"), at(i).alias("w"))))).alias("rare"),
         )
     )
     rare = cut.select("k", F.explode("rare").alias("x")).select("k", "x.at", "x.w")
@@ -223,8 +216,8 @@ def count_tokens(documents: DataFrame, key: str, text: str, name: str = VOCABULA
     cut = written(
         _cut(documents, key, text, name, folder).select(
             "k",
-            F.size(F.filter("words", lambda w: w["id"].isNotNull())).cast("long").alias("n"),
-            F.transform(F.filter("words", lambda w: w["id"].isNull()), lambda w: w["w"]).alias("rare"),
+            F.size(F.array_compact("ids")).cast("long").alias("n"),
+            F.array_compact(F.transform("ids", lambda r, i: F.when(r.isNull(), F.get("words", i)))).alias("rare"),
         )
     )
     rare = cut.select("k", F.explode("rare").alias("w"))
