@@ -44,9 +44,9 @@ def config_kind(path: Column) -> Column:
     )
 
 
-def _found(rows: DataFrame, rule: str, key: str) -> DataFrame:
+def _hit(rule: str, on: Column) -> Column:
     severity, confidence = RULES[rule]
-    return rows.select(key, "path", "line_no", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"))
+    return F.when(on, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence")))
 
 
 def _documents(files: DataFrame, key: str) -> DataFrame:
@@ -96,36 +96,34 @@ def _documents(files: DataFrame, key: str) -> DataFrame:
 def audit(files: DataFrame, key: str = "file_id") -> DataFrame:
     """``key, path, line_no, rule_id, severity, confidence`` of all configuration rules. Null contents have none.
 
+    The rules on single lines take one pass together, the last stage of a Dockerfile a second, parsed documents a third.
+
     Files below folders of tools and results are left out, as are those of more than 512 KiB.
     """
     files = files.where(~forward_slashes(F.col("relative_path")).rlike(IGNORED) & (F.octet_length("content") <= MOST_BYTES))
     all_lines = delivered_lines(files.where(config_kind(F.col("relative_path")).isNotNull()), key).withColumn("kind", config_kind(F.col("path"))).withColumn("t", F.trim("line"))
-    docker = all_lines.where((F.col("kind") == "dockerfile") & (F.col("t") != "") & ~F.col("t").startswith("#"))
+    kind = F.col("kind")
+    docker = (kind == "dockerfile") & (F.col("t") != "") & ~F.col("t").startswith("#")
     value = F.concat(*[F.regexp_extract("t", IMAGE_SECRET, i) for i in (2, 3, 4)])
-    baked = docker.where(F.regexp_extract("t", IMAGE_SECRET, 1).rlike(SECRET_NAME) & (value != "") & ~value.startswith("${"))
+    baked = F.regexp_extract("t", IMAGE_SECRET, 1).rlike(SECRET_NAME) & (value != "") & ~value.startswith("${")
+    secret = F.regexp_extract("line", COMPOSE_SECRET, 1)
+    password = (secret != "") & ~secret.rlike(r"(?i)^(?:\$|changeme|password|secret|example)")
+    port = F.regexp_extract("t", PORT, 1).isin(PORTS) & ~F.contains("t", F.lit("127.0.0.1"))
+    action, tag = F.regexp_extract("line", USES, 1), F.regexp_extract("line", USES, 2)
+    unpinned = (action != "") & ~tag.rlike(r"(?i)^[0-9a-f]{40}$") & ~action.rlike(r"^(\./|docker://)")
+    terraform = (kind == "terraform") & ~F.col("t").rlike("^(#|//)")
+    literal = F.regexp_extract("line", TERRAFORM_SECRET, 1)
+    hits = F.array_compact(F.array(
+        _hit("IAC003", docker & baked), _hit("IAC004", (kind == "compose") & password), _hit("IAC005", (kind == "compose") & port),
+        _hit("IAC015", (kind == "workflow") & F.col("line").rlike(EVENT)), _hit("IAC014", (kind == "workflow") & unpinned),
+        _hit("IAC012", terraform & F.col("line").rlike(OPEN_INGRESS)), _hit("IAC013", terraform & (literal != "") & ~literal.rlike(r"^(\$\{|var\.)")),
+    ))
+    of_lines = all_lines.select(key, "path", "line_no", F.explode(hits).alias("h")).select(key, "path", "line_no", "h.*")
     user = F.lower(F.regexp_extract("t", r"(?i)^USER\s+(\S+)", 1))
-    stages = docker.groupBy(key, "path", "copy_no").agg(
+    stages = all_lines.where(docker).groupBy(key, "path", "copy_no").agg(
         F.max(F.when(F.col("t").rlike(r"(?i)^FROM\s+\S+"), F.col("line_no"))).alias("line_no"),
         F.max(F.when((user != "") & ~user.isin("0", "root"), F.col("line_no"))).alias("user_at"),
     )
     root = stages.where(F.col("line_no").isNotNull() & (F.coalesce("user_at", F.lit(0)) < F.col("line_no")))
-    compose = all_lines.where(F.col("kind") == "compose")
-    secret = F.regexp_extract("line", COMPOSE_SECRET, 1)
-    passwords = compose.where((secret != "") & ~secret.rlike(r"(?i)^(?:\$|changeme|password|secret|example)"))
-    ports = compose.where(F.regexp_extract("t", PORT, 1).isin(PORTS) & ~F.contains("t", F.lit("127.0.0.1")))
-    workflow = all_lines.where(F.col("kind") == "workflow")
-    action, tag = F.regexp_extract("line", USES, 1), F.regexp_extract("line", USES, 2)
-    unpinned = workflow.where((action != "") & ~tag.rlike(r"(?i)^[0-9a-f]{40}$") & ~action.rlike(r"^(\./|docker://)"))
-    terraform = all_lines.where((F.col("kind") == "terraform") & ~F.col("t").rlike("^(#|//)"))
-    literal = F.regexp_extract("line", TERRAFORM_SECRET, 1)
-    found = [
-        _found(baked, "IAC003", key), _found(root, "IAC001", key), _found(passwords, "IAC004", key), _found(ports, "IAC005", key),
-        _found(workflow.where(F.col("line").rlike(EVENT)), "IAC015", key), _found(unpinned, "IAC014", key),
-        _found(terraform.where(F.col("line").rlike(OPEN_INGRESS)), "IAC012", key),
-        _found(terraform.where((literal != "") & ~literal.rlike(r"^(\$\{|var\.)")), "IAC013", key),
-        _documents(files, key),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    of_stages = root.select(key, "path", "line_no", _hit("IAC001", F.lit(True)).alias("h")).select(key, "path", "line_no", "h.*")
+    return of_lines.unionByName(of_stages).unionByName(_documents(files, key)).distinct()
