@@ -27,7 +27,7 @@ USES = r"^\s+(?:-\s+)?uses:\s+([^\s@#]+)@([^\s#]+)"
 OPEN_INGRESS = r"(?i)cidr_blocks\s*=\s*\[[\"']0\.0\.0\.0/0[\"']\]"
 TERRAFORM_SECRET = r"(?i)(?:password|secret|api_key|access_key|private_key|token)\s*=\s*['\"]([^'\"]{8,})['\"]"
 IGNORED = r"(^|/)(?:\.git|node_modules|\.venv|venv|__pycache__|\.next|dist|build|target|\.tox)/"
-MOST_BYTES = 512 * 1024
+MOST_BYTES, EVIDENCE = 512 * 1024, 120
 WORKLOADS = {"Pod", "Deployment", "DaemonSet", "StatefulSet", "ReplicaSet", "Job", "CronJob"}
 
 
@@ -44,9 +44,10 @@ def config_kind(path: Column) -> Column:
     )
 
 
-def _hit(rule: str, on: Column) -> Column:
+def _hit(rule: str, on: Column, evidence: Column | None = None) -> Column:
     severity, confidence = RULES[rule]
-    return F.when(on, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence")))
+    seen = F.lit(None).cast("string") if evidence is None else evidence
+    return F.when(on, F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), seen.alias("evidence")))
 
 
 def _documents(files: DataFrame, key: str) -> DataFrame:
@@ -90,11 +91,15 @@ def _documents(files: DataFrame, key: str) -> DataFrame:
     hits = rows.select(key, F.col("relative_path").alias("path"), F.explode(read("content", "kind")).alias("rule_id")).distinct()
     severity = F.coalesce(*[F.when(F.col("rule_id") == r, F.lit(s)) for r, (s, _) in RULES.items()])
     confidence = F.coalesce(*[F.when(F.col("rule_id") == r, F.lit(c)) for r, (_, c) in RULES.items()])
-    return hits.select(key, "path", F.lit(1).alias("line_no"), "rule_id", severity.alias("severity"), confidence.alias("confidence"))
+    return hits.select(
+        key, "path", F.lit(1).alias("line_no"), "rule_id", severity.alias("severity"), confidence.alias("confidence"), F.lit(None).cast("string").alias("evidence")
+    )
 
 
 def audit(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """``key, path, line_no, rule_id, severity, confidence`` of all configuration rules. Null contents have none.
+    """``key, path, line_no, rule_id, severity, confidence, evidence`` of all configuration rules. Null contents have none.
+
+    ``evidence`` is the head of the line for three rules, literals in it masked, else null.
 
     The rules on single lines take one pass together, the last stage of a Dockerfile a second, parsed documents a third.
 
@@ -113,10 +118,12 @@ def audit(files: DataFrame, key: str = "file_id") -> DataFrame:
     unpinned = (action != "") & ~tag.rlike(r"(?i)^[0-9a-f]{40}$") & ~action.rlike(r"^(\./|docker://)")
     terraform = (kind == "terraform") & ~F.col("t").rlike("^(#|//)")
     literal = F.regexp_extract("line", TERRAFORM_SECRET, 1)
+    head = F.substring("t", 1, EVIDENCE)
+    masked = F.regexp_replace(head, r"(['\"])([^'\"]{4,})(['\"])", "$1***$3")
     hits = F.array_compact(F.array(
         _hit("IAC003", docker & baked), _hit("IAC004", (kind == "compose") & password), _hit("IAC005", (kind == "compose") & port),
-        _hit("IAC015", (kind == "workflow") & F.col("line").rlike(EVENT)), _hit("IAC014", (kind == "workflow") & unpinned),
-        _hit("IAC012", terraform & F.col("line").rlike(OPEN_INGRESS)), _hit("IAC013", terraform & (literal != "") & ~literal.rlike(r"^(\$\{|var\.)")),
+        _hit("IAC015", (kind == "workflow") & F.col("line").rlike(EVENT)), _hit("IAC014", (kind == "workflow") & unpinned, head),
+        _hit("IAC012", terraform & F.col("line").rlike(OPEN_INGRESS), head), _hit("IAC013", terraform & (literal != "") & ~literal.rlike(r"^(\$\{|var\.)"), masked),
     ))
     of_lines = all_lines.select(key, "path", "line_no", F.explode(hits).alias("h")).select(key, "path", "line_no", "h.*")
     user = F.lower(F.regexp_extract("t", r"(?i)^USER\s+(\S+)", 1))

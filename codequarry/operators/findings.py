@@ -154,6 +154,11 @@ def remediation_view(findings: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("finding_id"), *texts, parsed_patch(F.col("patch_text")).alias("patch"))
 
 
+def newest_first(rows: DataFrame) -> DataFrame:
+    """Findings or scans by id, descending, each id once: the order of the lists of both."""
+    return rows.where("id is not null").dropDuplicates(["id"]).orderBy(F.col("id").desc())
+
+
 def rendered_flow(steps: Column) -> Column:
     """Data-flow steps, an array of ``label, line``, as one text."""
     return F.array_join(F.transform(steps, lambda s: F.concat(s["label"], F.lit(" (line "), s["line"], F.lit(")"))), " → ")

@@ -146,6 +146,12 @@ def flow_texts(spark, root):
     return rows.select("id", findings.rendered_flow(steps).alias("flow"))
 
 
+@query
+def sorted_findings(spark, root):
+    """Findings in the order in which lists show them."""
+    return findings.newest_first(table(spark, root, "findings", "id", "scan_id"))
+
+
 @query
 def remediated_findings(spark, root):
     """Texts that findings lack, from the findings of the same rule that have them, and safe patches."""

@@ -207,6 +207,7 @@ SQL: dict[str, str] = {
         WHERE analyzer = 'iac' AND id IS NOT NULL""",
     "remediation_view": f"""SELECT DISTINCT id AS finding_id, why_risky, impact, remediation, fix_example, patch_available,
         {_patch('original')} AS patch_original, {_patch('replacement')} AS patch_replacement FROM findings WHERE id IS NOT NULL""",
+    "sorted_findings": "SELECT DISTINCT id, scan_id FROM findings WHERE id IS NOT NULL ORDER BY id DESC",
     "flow_texts": """SELECT DISTINCT id, source_label || ' (line ' || coalesce(line_number, 0) || ') → ' || sink_label || ' (line ' || coalesce(line_number, 0) || ')' AS flow
         FROM findings WHERE source_label IS NOT NULL AND sink_label IS NOT NULL""",
     "remediated_findings": r"""WITH f AS (SELECT DISTINCT id, rule_id, why_risky, impact, remediation, fix_example, cwe, patch_available, line_number, code_snippet FROM findings WHERE id IS NOT NULL),

@@ -199,3 +199,15 @@ def test_join_of_a_hot_key(spark):
     for how in ("inner", "left"):
         want = sorted(map(str, large.join(small, "k", how).select("item", "k", "v").collect()))
         assert sorted(map(str, join_hot(large, small, "k", "item", how).select("item", "k", "v").collect())) == want
+
+
+def test_heads_of_lines_are_shown(spark):
+    text = {"a.tf": '   password = "hunter2222" # ' + "x" * 200, "b.js": "  eval(x) // " + "y" * 200}
+    shown = config_audit.audit(table(spark, text)).first()
+    assert shown.evidence.startswith('password = "***" #') and len(shown.evidence) <= 120
+    assert len(scripts.sinks(lines(spark, text)).first().sink_label) == 80
+
+
+def test_lists_are_sorted_and_show_an_id_once(spark):
+    rows = spark.createDataFrame([("a", 1), ("c", 2), ("b", 3), ("c", 2), (None, 4)], "id string, n int")
+    assert [r.id for r in findings.newest_first(rows).collect()] == ["c", "b", "a"]
