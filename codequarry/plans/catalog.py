@@ -12,7 +12,7 @@ from codequarry.functions.urls import canonical_url
 from codequarry.functions.versions import is_older
 from codequarry.operators import advisories, confidence, config_audit, dedupe, findings, imports, linerules, patches, pyflow, pyquality, remediation, review, scripts, snapshots, summary
 from codequarry.sources import files, manifests
-from codequarry.sources.tables import table
+from codequarry.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 HOST = "git.example"
@@ -295,7 +295,7 @@ def languages_found(spark, root):
 
 
 def _lines(spark, root):
-    return files.delivered_lines(table(spark, root, "source_files", "file_id", "relative_path", "content"))
+    return files.delivered_lines(spread(table(spark, root, "source_files", "file_id", "relative_path", "content")))
 
 
 @query
