@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import credentials, encode, handwritten, packing, sentences, syntax, topn
-from codequarry.sources.tables import table
+from codequarry.sources.tables import spread, table
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, root, "source_files", "file_id", "relative_path", "content")).select("file_id")
+    return handwritten.not_handwritten(spread(table(spark, root, "source_files", "file_id", "relative_path", "content"))).select("file_id")
 
 
 def p2_kinds(spark: SparkSession, root: str) -> DataFrame:
     """Files and characters by kind; files that someone on the team wrote are ``hand-written``."""
-    found = handwritten.kinds(table(spark, root, "source_files", "file_id", "relative_path", "content"))
+    found = handwritten.kinds(spread(table(spark, root, "source_files", "file_id", "relative_path", "content")))
     return found.groupBy(F.coalesce("kind", F.lit("hand-written")).alias("kind")).agg(F.count("*").alias("n_files"), F.sum("chars").alias("n_chars"))
 
 
@@ -26,8 +26,8 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    files = table(spark, root, "source_files", "file_id", "relative_path", "content")
-    findings = table(spark, root, "findings", "id", "code_snippet", "file_path")
+    files = spread(table(spark, root, "source_files", "file_id", "relative_path", "content"))
+    findings = spread(table(spark, root, "findings", "id", "code_snippet", "file_path"))
     return (
         credentials.find_credentials(files, "source_files", "content", "file_id", F.col("relative_path"))
         .unionByName(credentials.find_credentials(files, "source_files", "relative_path", "file_id"))
@@ -37,27 +37,27 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_redacted(spark: SparkSession, root: str) -> DataFrame:
     """Every file with the credentials in its content and path blanked out, all offsets and line ends as they were."""
-    files = table(spark, root, "source_files", "file_id", "relative_path", "content")
+    files = spread(table(spark, root, "source_files", "file_id", "relative_path", "content"))
     contents = credentials.redacted(files, "content", "file_id", F.col("relative_path"))
     return credentials.redacted(contents, "relative_path", "file_id")
 
 
 def p4_redacted_snippets(spark: SparkSession, root: str) -> DataFrame:
     """Every finding's snippet in the same way."""
-    return credentials.redacted(table(spark, root, "findings", "id", "code_snippet"), "code_snippet", "id", F.lit(""))
+    return credentials.redacted(spread(table(spark, root, "findings", "id", "code_snippet")), "code_snippet", "id", F.lit(""))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return syntax.syntax_errors(table(spark, root, "source_files", "file_id", "extension", "language", "content")).select("file_id")
+    return syntax.syntax_errors(spread(table(spark, root, "source_files", "file_id", "extension", "language", "content"))).select("file_id")
 
 
 def p5_rates(spark: SparkSession, root: str) -> DataFrame:
     """Checked and invalid files per repository and language."""
-    return syntax.error_rates(table(spark, root, "source_files", "file_id", "repository_id", "extension", "language", "content"))
+    return syntax.error_rates(spread(table(spark, root, "source_files", "file_id", "repository_id", "extension", "language", "content")))
 
 
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
-    return encode.encode(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+    return encode.encode(spread(table(spark, root, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
@@ -66,12 +66,12 @@ def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_packed(spark: SparkSession, root: str) -> DataFrame:
-    sizes = encode.count_tokens(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+    sizes = encode.count_tokens(spread(table(spark, root, "documents", "doc_id", "text")), "doc_id", "text")
     return packing.fill_containers(sizes, "doc_id", "tokens")
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    return sentences.sentences(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+    return sentences.sentences(spread(table(spark, root, "documents", "doc_id", "text")), "doc_id", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
